@@ -1,0 +1,38 @@
+"""From any activity table to the columns the operators work on."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tempolog.functions.scalars import micros
+
+
+def as_events(
+    df: DataFrame,
+    uid: str,
+    ts: str,
+    op: str,
+    tie: Sequence[str] = (),
+    session: str | Column | None = None,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Project a table to ``uid, ts_us, tie..., op`` (and ``session_id``) with integer microseconds.
+
+    ``tie`` names the columns that make the order inside a user unique; they keep their names, as do ``keep``.
+    """
+    columns = {
+        "uid": F.col(uid).cast("string"),
+        "ts_us": micros(df, ts),
+        "op": F.col(op).cast("string"),
+    }
+    if session is not None:
+        columns["session_id"] = (F.col(session) if isinstance(session, str) else session).cast("string")
+    plain = [c for c in dict.fromkeys([*tie, *keep])]
+    return df.select(*[c.alias(n) for n, c in columns.items()], *plain)
+
+
+def from_contract(df: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """The same projection for a table that already has the nine contract columns."""
+    return as_events(df, "uid", "timestamp_utc", "op_category", tie=tie, session="session_id")
