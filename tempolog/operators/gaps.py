@@ -130,15 +130,9 @@ def session_curve(line: Timeline) -> DataFrame:
     asked = gaps.select((F.col("gap_us") + epsilon_us).alias("at"), F.lit(1).alias("side"),
                         F.lit(0).cast("bigint").alias("m"), F.col("gap_us").alias("asked"))
     merged = timeline(points.unionByName(asked), [], ["at", "side"]).running("sum", "upto", "m")
-    totals = line.rows.agg(F.struct(
-        F.count(F.when(F.col("is_first"), 1)).alias("users"), F.count(F.when(F.col("gap_us") > 0, 1)).alias("gaps")).alias("t"))
-    t = totals.scalar()
-    return (
-        merged.rows.filter("asked is not null")
-        .withColumn("t", t)
-        .select(F.col("asked").alias("gap_us"),
-                (F.col("t.users") + F.col("t.gaps") - F.col("upto")).cast("bigint").alias("sessions"))
-    )
+    users, every = line.rows.agg(F.count(F.when(F.col("is_first"), 1)), F.count(F.when(F.col("gap_us") > 0, 1))).first()
+    return merged.rows.filter("asked is not null").select(
+        F.col("asked").alias("gap_us"), (F.lit(users + every) - F.col("upto")).cast("bigint").alias("sessions"))
 
 
 def elbow_threshold(curve: DataFrame) -> DataFrame:

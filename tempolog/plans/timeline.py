@@ -47,6 +47,7 @@ class Scan:
     summary: Column | None = None                  # one value per slice; may use the local value by name
     across: Callable[[Column, WindowSpec], Column] | None = None   # summaries of earlier (later) slices -> carried value
     merge: Callable[[Column, Column], Column] | None = None        # (carried, local) -> value
+    whole: Callable[[WindowSpec], Column] | None = None            # the final value where the key is not cut, if not `local`
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,8 @@ class Timeline:
         def one(source: str) -> Scan:
             boxed = F.struct(F.col(source).alias("v"))
             return Scan(
-                local=lambda w: (shift(boxed) if self.cut is not None else shift(source)).over(w),
+                whole=lambda w: shift(source).over(w),
+                local=lambda w: shift(boxed).over(w),
                 summary=edge(boxed, F.struct(*self.order)),
                 across=lambda s, w: shift(s).over(w),
                 merge=lambda carried, local: F.coalesce(local, carried)["v"])
@@ -151,7 +153,7 @@ class Timeline:
     def scan(self, **scans: Scan) -> Timeline:
         """Add several ordered columns in one pass; none of them may use another."""
         w = Window.partitionBy(*self.keys).orderBy(*self.order)
-        plain = self.plain.withColumns({name: s.local(w) for name, s in scans.items()})
+        plain = self.plain.withColumns({name: (s.whole or s.local)(w) for name, s in scans.items()})
         if self.cut is None:
             return replace(self, plain=plain)
         w = Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
