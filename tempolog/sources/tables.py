@@ -41,11 +41,11 @@ def read_table(
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     kinds = {f.name: f.dataType for f in schema.fields}
     full = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
-    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
     if keep_corrupt:
         full = full.add(CORRUPT, T.StringType())
         # The header has no corrupt column, so it is checked above and not again by the reader.
-        reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+        reader = (spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
     else:
         reader = reader.option("mode", "FAILFAST")
     return reader.schema(full).csv(path).select(*names, *([CORRUPT] if keep_corrupt else []))
@@ -58,8 +58,9 @@ def write_stage(df: DataFrame, path: str, columns: Sequence[str], fmt: str = "pa
         out = out.orderBy(*order)
     writer = out.write.mode("overwrite")
     if fmt == "csv":
-        # Null and empty text are one thing in the contract; times are written with their zone.
-        writer.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+        # Text as it is, quotes doubled as in RFC 4180, times with their zone.
+        exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(**exact).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
     else:
         writer.format(fmt).save(path)
 
