@@ -11,7 +11,7 @@ from tempolog.plans.timeline import Timeline, timeline
 from tempolog.operators.features import fit_log
 from tempolog.schema import FIT_EPSILON
 
-MAX_VOCABULARY = 100_000  # operations are categories: a longer list is a wrong column, and too long to enumerate
+MAX_VOCABULARY = 10_000  # operations are categories: a longer list is a wrong column, and too long to enumerate
 
 
 def vocabulary(events: DataFrame) -> DataFrame:
@@ -110,14 +110,14 @@ def check_model(initial: DataFrame, matrix: DataFrame, timing: DataFrame, tolera
     size = initial.agg(F.count(F.lit(1)).alias("c")).scalar()
     report(rows.filter(F.col("width") != size), "transition_row_incomplete", F.col("src"), F.col("width"))
     report(states.join(rows, "src", "left_anti"), "transition_row_missing", F.col("src"), F.lit(None))
-    report(matrix.join(F.broadcast(states), "src", "left_anti").select("src").distinct(), "transition_unknown_state", F.col("src"), F.lit(None))
-    report(matrix.select(F.col("dst").alias("src")).join(F.broadcast(states), "src", "left_anti").distinct(),
+    report(matrix.join(states, "src", "left_anti").select("src").distinct(), "transition_unknown_state", F.col("src"), F.lit(None))
+    report(matrix.select(F.col("dst").alias("src")).join(states, "src", "left_anti").distinct(),
            "transition_unknown_target", F.col("src"), F.lit(None))
     report(timing.filter(~(F.col("sigma") > 0) | F.isnan("sigma") | F.col("sigma").isNull() | (F.col("sigma") == float("inf"))),
            "sigma_not_positive", F.col("op"), F.col("sigma"))
     report(timing.filter(F.col("mu").isNull() | F.isnan("mu") | (F.abs("mu") == float("inf"))), "mu_not_finite", F.col("op"), F.col("mu"))
     report(states.join(timing.select(F.col("op").alias("src")), "src", "left_anti"), "timing_missing", F.col("src"), F.lit(None))
-    report(timing.select(F.col("op").alias("src")).join(F.broadcast(states), "src", "left_anti"), "timing_unknown_state", F.col("src"), F.lit(None))
+    report(timing.select(F.col("op").alias("src")).join(states, "src", "left_anti"), "timing_unknown_state", F.col("src"), F.lit(None))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

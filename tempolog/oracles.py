@@ -258,14 +258,14 @@ ORACLES = {
       UNION ALL SELECT 'TIME_NOT_INCREASING', CAST(event_id AS VARCHAR), 'ts_us', CAST(t AS VARCHAR) FROM arr WHERE t <= b""",
     "stage_roundtrip": f"""WITH {RAW} SELECT op_category, path, count(*) AS n, count(DISTINCT nullif(uid, '')) AS users, min(true_us) AS first_us, max(true_us) AS last_us,
       count(*) FILTER (WHERE referer = '') AS no_referer FROM raw WHERE true_us IS NOT NULL GROUP BY ALL""",
-    "resample_linear": f"WITH {SCORED}{RES} SELECT series, k, round(t, 6) AS t, round(ref, 6) AS ref, round(y, 6) AS y, round(y_base, 6) AS y_base FROM rsm",
+    "resample_linear": f"WITH {SCORED}{RES} SELECT series, k, t, round(ref, 6) AS ref, round(y, 6) AS y, round(y_base, 6) AS y_base FROM rsm",
     "control_errors": f"""WITH {SCORED}{RES}, e AS (SELECT series, t, abs(ref - y) AS a, coalesce(t - lag(t) OVER (PARTITION BY series ORDER BY t), 0) AS dt FROM rsm)
       SELECT series, round(sum(a * dt), 3) AS iae, round(sum(a * a * dt), 3) AS ise, round(sum(t * a * dt), 0) AS itae FROM e GROUP BY 1""",
     "step_response": f"""WITH {SCORED}{RES}, fin AS (SELECT series, arg_max(ref, t) AS r, arg_max(y, t) AS v FROM rsm GROUP BY 1),
       q AS (SELECT rsm.*, r, v, abs(y - r) > 0.02 * abs(r) AS o FROM rsm JOIN fin USING (series)),
       lo AS (SELECT series, max(t) FILTER (WHERE o) AS last_o FROM q GROUP BY 1)
-      SELECT series, round(min(t) FILTER (WHERE y >= 0.9 * r) - min(t) FILTER (WHERE y >= 0.1 * r), 6) AS rise_time,
-        round(min(t) FILTER (WHERE last_o IS NULL OR t > last_o), 6) AS settling_time,
+      SELECT series, round(min(t) FILTER (WHERE y >= 0.9 * r) - min(t) FILTER (WHERE y >= 0.1 * r), 7) AS rise_time,
+        round(min(t) FILTER (WHERE last_o IS NULL OR t > last_o), 7) AS settling_time,
         round(CASE WHEN any_value(r) <> 0 THEN greatest(0, (max(y) - any_value(r)) / any_value(r) * 100) END, 4) AS overshoot_pct,
         round(any_value(r) - any_value(v), 6) AS steady_state_error FROM q JOIN lo USING (series) GROUP BY series""",
     "detect_order": f"WITH {WGAP}{TRANS} SELECT event_id, prev_op, op FROM wg JOIN mat ON src = prev_op AND dst = op WHERE p < 0.2",

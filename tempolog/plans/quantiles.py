@@ -36,11 +36,13 @@ def quantiles(
     limit = hot_limit(df, total)
     if largest <= limit:
         return plain(values)
+    # The values of large groups are read once per narrowing step, so they are written out first: a value and its
+    # group per row, instead of whatever it took to compute them.
     if not by:
-        return _bracketed(values, qs, by)
+        return _bracketed(durable(values), qs, by)
     hot = durable(counts.filter(F.col("_rows") > limit).drop("_rows"))
     cold_rows, hot_rows = broadcast_hot(values, hot, by)
-    return plain(cold_rows).unionByName(_bracketed(hot_rows, qs, by))
+    return plain(cold_rows).unionByName(_bracketed(durable(hot_rows), qs, by))
 
 
 def _bracketed(values: DataFrame, qs: dict[str, float], by: Sequence[str]) -> DataFrame:

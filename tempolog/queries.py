@@ -408,7 +408,7 @@ def _series(spark, folder):
 
 
 def resample_linear(spark, folder):
-    return rounded(_series(spark, folder), t=6, ref=6, y=6, y_base=6)
+    return rounded(_series(spark, folder), ref=6, y=6, y_base=6)
 
 
 def control_errors(spark, folder):
@@ -417,7 +417,7 @@ def control_errors(spark, folder):
 
 def step_response(spark, folder):
     out = signals.step_response(_series(spark, folder))
-    return rounded(out, rise_time=6, settling_time=6, overshoot_pct=4, steady_state_error=6)
+    return rounded(out, rise_time=7, settling_time=7, overshoot_pct=4, steady_state_error=6)
 
 
 # --- detection and injection -----------------------------------------------------------------------------------------------------

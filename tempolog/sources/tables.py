@@ -45,7 +45,8 @@ def read_table(
     if keep_corrupt:
         full = full.add(CORRUPT, T.StringType())
         # The header has no corrupt column, so it is checked above and not again by the reader.
-        reader = (spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+        reader = (spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False))
     else:
         reader = reader.option("mode", "FAILFAST")
     return reader.schema(full).csv(path).select(*names, *([CORRUPT] if keep_corrupt else []))
