@@ -14,10 +14,13 @@ TINY = 1e-12
 
 
 def _median_mad(rows: DataFrame, value: str, at_most: int | None) -> DataFrame:
-    median = quantiles(rows, value, {"median": 0.5}, largest=at_most)
-    m = median.select("median").scalar()
-    mad = quantiles(rows.select(F.abs(F.col(value) - m).alias("d")), "d", {"mad": 0.5}, largest=at_most)
-    return mad.select("n", m.alias("median"), "mad")
+    """One row ``n, median, mad``. The median is fetched first, so that it is computed once."""
+    n, median = quantiles(rows, value, {"median": 0.5}, largest=at_most).first()
+    if median is None:
+        return rows.sparkSession.createDataFrame([], "n bigint, median double, mad double")
+    deviations = rows.select(F.abs(F.col(value) - F.lit(median)).alias("d"))
+    mad = quantiles(deviations, "d", {"mad": 0.5}, largest=at_most).first().mad
+    return rows.sparkSession.createDataFrame([(n, median, mad)], "n bigint, median double, mad double")
 
 
 def global_robust_stats(line: Timeline) -> DataFrame:

@@ -62,23 +62,20 @@ def gap_statistics(gaps: DataFrame, at_most: int | None = None) -> DataFrame:
 
 
 def gap_histogram(gaps: DataFrame, stats: DataFrame) -> DataFrame:
-    """``bin, lo, hi, n`` with every bin present (at most 256 rows)."""
-    s = stats.select(F.struct("min_log", "max_log", "bin_count", "bin_width").alias("s"))
+    """``bin, lo, hi, n`` with every bin present (at most 256 rows). The one row of statistics is fetched first."""
+    spark, s = gaps.sparkSession, stats.first()
+    if s is None:
+        return spark.createDataFrame([], "bin int, lo double, hi double, n bigint")
+    last = F.lit(s.bin_count - 1)
     x = F.col("x")
-    place = F.when((F.col("s.bin_count") == 1) | (x >= F.col("s.max_log")), F.col("s.bin_count") - 1).otherwise(
-        F.greatest(F.lit(0), F.least(F.col("s.bin_count") - 1,
-                                     F.floor((x - F.col("s.min_log")) / F.col("s.bin_width")).cast("int"))))
-    counts = (
-        gaps.select(log_gap("gap_us").alias("x"), s.scalar().alias("s"))
-        .groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    bins = stats.select("min_log", "bin_width", F.explode(F.sequence(F.lit(0), F.col("bin_count") - 1)).alias("bin"))
+    inside = F.greatest(F.lit(0), F.least(last, F.floor((x - s.min_log) / F.lit(s.bin_width or 1.0)).cast("int")))
+    place = last if s.bin_count == 1 else F.when(x >= s.max_log, last).otherwise(inside)
+    counts = gaps.select(log_gap("gap_us").alias("x")).groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = spark.range(s.bin_count).select(F.col("id").cast("int").alias("bin"))
+    edge = lambda k: F.lit(s.min_log) + k * F.lit(s.bin_width)
     return bins.join(F.broadcast(counts), "bin", "left").select(
-        F.col("bin").cast("int").alias("bin"),
-        (F.col("min_log") + F.col("bin") * F.col("bin_width")).alias("lo"),
-        (F.col("min_log") + (F.col("bin") + 1) * F.col("bin_width")).alias("hi"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-    )
+        "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def otsu_threshold(histogram: DataFrame) -> DataFrame:

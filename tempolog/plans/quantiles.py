@@ -27,8 +27,16 @@ def quantiles(
     ``largest`` is an upper bound of the rows of a group, if the caller knows one; it saves the counting job.
     """
     values = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    plain = lambda rows: rows.groupBy(*by).agg(
-        F.count("_v").alias("n"), *[F.percentile("_v", q).alias(name) for name, q in qs.items()])
+    # One tally of the values serves every inner quantile; the ends need none.
+    inner = sorted({q for q in qs.values() if 0 < q < 1})
+    ends = {0: F.min("_v"), 1: F.max("_v")}
+
+    def plain(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*by).agg(
+            F.count("_v").alias("n"), *[F.percentile("_v", inner).alias("_inner")] if inner else [],
+            *[end.alias(f"_end{q}") for q, end in ends.items() if q in qs.values()])
+        return found.select(*by, "n", *[
+            (F.col("_inner")[inner.index(q)] if q in inner else F.col(f"_end{int(q)}")).alias(name) for name, q in qs.items()])
 
     if largest is not None and largest <= rows_per_window(df):
         return plain(values)

@@ -62,7 +62,7 @@ def week_line(spark, folder) -> Timeline:
 
 def week_line_z(spark, folder) -> Timeline:
     line = week_line(spark, folder)
-    return features.with_model_z(line, durable(features.raw_scale_stats(line)))
+    return features.with_model_z(line, features.raw_scale_stats(line))
 
 
 def fitted(spark, folder):
@@ -131,7 +131,7 @@ def global_robust_stats(spark, folder):
 
 def _order_stats(spark, folder):
     line = order_line(spark, folder)
-    return features.user_robust_stats(line, durable(features.global_robust_stats(line)))
+    return features.user_robust_stats(line, features.global_robust_stats(line))
 
 
 def user_robust_stats(spark, folder):
@@ -145,7 +145,7 @@ def fallback_users(spark, folder):
 
 def robust_z(spark, folder):
     line = user_line(spark, folder)
-    stats = features.user_robust_stats(line, durable(features.global_robust_stats(line)))
+    stats = features.user_robust_stats(line, features.global_robust_stats(line))
     out = features.with_robust_z(line, stats).rows
     return rounded(out.select("event_id", "robust_z", "robust_z_clipped"), robust_z=6, robust_z_clipped=6)
 
@@ -492,7 +492,7 @@ def evaluate_against_audit(spark, folder):
     changed = injected(spark, folder)
     audit = injection.audit_table(changed, RULES, SEED, "event_id")
     dirty = gaps.with_session_gap(gaps.session_timeline(injection.changed_events(changed), TIE))
-    dirty = features.with_model_z(dirty, durable(features.raw_scale_stats(dirty)))
+    dirty = features.with_model_z(dirty, features.raw_scale_stats(dirty))
     table = scoring.score_events(dirty, model, thresholds)
     labelled = evaluation.label_from_audit(table, audit, "event_id")
     tallied = durable(evaluation.tally(labelled.withColumn("S", F.round("S", 9)), "S", "label"))
@@ -516,7 +516,7 @@ def stream_sessions(spark, folder):
 
 def stream_features(spark, folder):
     line = user_line(spark, folder)
-    stats = durable(features.user_robust_stats(line, durable(features.global_robust_stats(line))))
+    stats = durable(features.user_robust_stats(line, features.global_robust_stats(line)))
     out = flows.features_to_table(spark, read(spark, folder, "events").schema, f"{folder}/events.parquet", stats)
     return rounded(out, robust_z=6, burst_ratio=6)
 
