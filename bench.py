@@ -25,8 +25,7 @@ def lineitem_features(spark, folder):
     tie = ["l_orderkey", "l_linenumber", "l_partkey"]
     rows = as_events(read(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", "l_returnflag", tie)
     line = gaps.auto_sessions(rows, tie)
-    stats = features.user_robust_stats(line, features.global_robust_stats(line))
-    return features.with_robust_z(features.with_rolling(line), stats).rows
+    return features.deltify(line).rows
 
 
 def main() -> None:

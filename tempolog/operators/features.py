@@ -49,6 +49,12 @@ def user_robust_stats(line: Timeline, overall: DataFrame) -> DataFrame:
     )
 
 
+def feature_stats(line: Timeline) -> DataFrame:
+    """The per-user statistics of a timeline with gaps, which are written once for the five passes this takes."""
+    narrow = line.store("uid", "gap_us")
+    return user_robust_stats(narrow, global_robust_stats(narrow))
+
+
 def fallback_users(stats: DataFrame) -> DataFrame:
     return stats.filter("is_fallback").select("uid", "n")
 
@@ -74,7 +80,7 @@ def with_rolling(line: Timeline) -> Timeline:
 
 def deltify(line: Timeline) -> Timeline:
     """All features of a timeline of users that has gaps."""
-    stats = user_robust_stats(line, global_robust_stats(line))
+    stats = feature_stats(line)
     return with_robust_z(with_rolling(line), stats)
 
 
@@ -82,7 +88,7 @@ def deltify(line: Timeline) -> Timeline:
 
 def raw_scale_stats(line: Timeline) -> DataFrame:
     """One row ``median_seconds, mad_seconds, scale`` of the raw gap in seconds over every row."""
-    stats = _median_mad(line.rows.select(seconds("gap_us").alias("x")), "x", line.total)
+    stats = _median_mad(line.store("gap_us").rows.select(seconds("gap_us").alias("x")), "x", line.total)
     scale = F.lit(MAD_SCALE) * F.col("mad")
     return stats.select(
         F.col("median").alias("median_seconds"), F.col("mad").alias("mad_seconds"),

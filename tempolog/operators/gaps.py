@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tempolog.functions.scalars import log_gap, seconds
 from tempolog.plans.quantiles import quantiles
 from tempolog.plans.timeline import Timeline, timeline
+from tempolog.session import durable
 from tempolog.schema import (
     DEFAULT_THRESHOLD_SECONDS, GAP_EPSILON, MAX_BINS, MIN_BINS, OTSU_MAX_RATIO)
 
@@ -114,7 +115,7 @@ def otsu_threshold(histogram: DataFrame) -> DataFrame:
 
 # --- session-count curve and elbow ----------------------------------------------------------------------------
 
-def session_curve(line: Timeline) -> DataFrame:
+def session_curve(positive: DataFrame, users: int) -> DataFrame:
     """``gap_us, sessions``: how many sessions there would be with each distinct gap as threshold.
 
     One user has 1 + (number of larger gaps) sessions, so the curve is a running count over the distinct gaps.
@@ -122,12 +123,12 @@ def session_curve(line: Timeline) -> DataFrame:
     shifted points are merged into the sorted gaps, which keeps this one running sum.
     """
     epsilon_us = int(GAP_EPSILON * 1e6)
-    gaps = line.rows.filter("gap_us > 0").groupBy("gap_us").agg(F.count(F.lit(1)).alias("m"))
+    gaps = durable(positive.groupBy("gap_us").agg(F.count(F.lit(1)).alias("m")))
     points = gaps.select(F.col("gap_us").alias("at"), F.lit(0).alias("side"), "m", F.lit(None).cast("bigint").alias("asked"))
     asked = gaps.select((F.col("gap_us") + epsilon_us).alias("at"), F.lit(1).alias("side"),
                         F.lit(0).cast("bigint").alias("m"), F.col("gap_us").alias("asked"))
     merged = timeline(points.unionByName(asked), [], ["at", "side"]).running("sum", "upto", "m")
-    users, every = line.rows.agg(F.count(F.when(F.col("is_first"), 1)), F.count(F.when(F.col("gap_us") > 0, 1))).first()
+    every = gaps.agg(F.sum("m")).first()[0] or 0
     return merged.rows.filter("asked is not null").select(
         F.col("asked").alias("gap_us"), (F.lit(users + every) - F.col("upto")).cast("bigint").alias("sessions"))
 
@@ -157,9 +158,10 @@ def elbow_threshold(curve: DataFrame) -> DataFrame:
 def select_threshold(line: Timeline) -> DataFrame:
     """One row ``threshold_seconds, method, ratio``: Otsu if it separates the gaps well, else the elbow, else an hour.
 
-    The elbow needs a sort of all distinct gaps, so it is planned only when the histogram asks for it.
+    The gaps are written once as a single column: quartiles, histogram and elbow each read them again. The elbow
+    needs a sort of all distinct gaps, so it is planned only when the histogram asks for it.
     """
-    gaps = positive_gaps(line)
+    gaps = durable(positive_gaps(line))
     spark = line.rows.sparkSession
     otsu = otsu_threshold(gap_histogram(gaps, gap_statistics(gaps, line.total))).first()
     if otsu is None:
@@ -167,7 +169,7 @@ def select_threshold(line: Timeline) -> DataFrame:
     elif otsu.ratio < OTSU_MAX_RATIO:
         row = (otsu.threshold_seconds, "otsu", otsu.ratio)
     else:
-        row = (elbow_threshold(session_curve(line)).first()[0], "elbow", otsu.ratio)
+        row = (elbow_threshold(durable(session_curve(gaps, line.groups))).first()[0], "elbow", otsu.ratio)
     return spark.createDataFrame([row], "threshold_seconds double, method string, ratio double")
 
 

@@ -39,7 +39,7 @@ def lookup(rows: DataFrame, table: DataFrame, on: Iterable[str]) -> DataFrame:
     on = list(on)
     if table.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), on, "left")
-    total, largest, counts = group_sizes(rows, on)
+    total, _, largest, counts = group_sizes(rows, on)
     limit = hot_limit(rows, total)
     if largest <= limit:
         return rows.join(table, on, "left")

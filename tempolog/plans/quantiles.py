@@ -40,7 +40,7 @@ def quantiles(
 
     if largest is not None and largest <= rows_per_window(df):
         return plain(values)
-    total, largest, counts = group_sizes(values, by)
+    total, _, largest, counts = group_sizes(values, by)
     limit = hot_limit(df, total)
     if largest <= limit:
         return plain(values)

@@ -28,11 +28,11 @@ def rows_per_window(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(MAX_ROWS_SETTING, str(MAX_ROWS)))
 
 
-def group_sizes(df: DataFrame, keys: Iterable[str]) -> tuple[int, int, DataFrame]:
-    """(all rows, rows of the largest group, table of counts per group). One scan of the key columns."""
+def group_sizes(df: DataFrame, keys: Iterable[str]) -> tuple[int, int, int, DataFrame]:
+    """(all rows, groups, rows of the largest group, table of counts per group). One scan of the key columns."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    return total or 0, largest or 0, counts
+    total, groups, largest = counts.agg(F.sum("_rows"), F.count("_rows"), F.max("_rows")).first()
+    return total or 0, groups, largest or 0, counts
 
 
 def hot_limit(df: DataFrame, total: int) -> int:
@@ -60,6 +60,7 @@ class Timeline:
     order: tuple[str, ...]
     base: tuple[str, ...]          # the keys it was built on; `keys` may be finer
     total: int | None              # upper bound of all rows, if known
+    groups: int | None             # number of base keys, if known
     largest: int                   # upper bound of the rows of one key
     hot: DataFrame | None = None   # the keys that were cut, at most MAX_HOT_KEYS of them
 
@@ -77,6 +78,12 @@ class Timeline:
     def drop(self, *columns: str) -> Timeline:
         return self.apply(lambda rows: rows.drop(*columns))
 
+    def store(self, *columns: str) -> Timeline:
+        """Write these columns (or all) once, so that several passes do not repeat the shuffle behind them."""
+        def written(rows: DataFrame, *more: str) -> DataFrame:
+            return durable(rows.select(*columns, *more) if columns else rows)
+        return replace(self, plain=written(self.plain), cut=None if self.cut is None else written(self.cut, SLICE))
+
     def within(self, *keys: str) -> Timeline:
         """Timelines of a finer key, e.g. sessions inside users. The slices of the coarse key still hold."""
         return replace(self, keys=tuple(keys))
@@ -191,15 +198,15 @@ def timeline(df: DataFrame, keys: Iterable[str], order: Iterable[str], largest:
     """
     keys, order = tuple(keys), tuple(order)
     if largest is not None and largest <= rows_per_window(df):
-        return Timeline(df, None, keys, order, keys, None, largest)
-    total, largest, counts = group_sizes(df, keys)
+        return Timeline(df, None, keys, order, keys, None, None, largest)
+    total, groups, largest, counts = group_sizes(df, keys)
     limit = hot_limit(df, total)
     if largest <= limit:
-        return Timeline(df, None, keys, order, keys, total, largest)
+        return Timeline(df, None, keys, order, keys, total, groups, largest)
 
     hot = durable(counts.filter(F.col("_rows") > limit))
     slices = math.ceil(hot.agg(F.sum("_rows")).first()[0] / rows_per_window(df))
     hot = hot.drop("_rows")
     plain, rest = broadcast_hot(df, hot, keys) if keys else (df.limit(0), df)
     cut = durable(rest.repartitionByRange(slices, *keys, *order).withColumn(SLICE, F.spark_partition_id()))
-    return Timeline(plain, cut, keys, order, keys, total, largest, hot)
+    return Timeline(plain, cut, keys, order, keys, total, groups, largest, hot)

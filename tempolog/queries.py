@@ -66,19 +66,20 @@ def week_line_z(spark, folder) -> Timeline:
 
 
 def fitted(spark, folder):
-    """Vocabulary, next-event pairs, and the predictor fitted on them."""
-    line = week_line_z(spark, folder)
-    vocab = behavior.vocabulary(line.rows)
-    pairs = behavior.next_event_pairs(line)
-    return line, vocab, pairs, scoring.fit_predictor(pairs, vocab)
+    """Events with what came before them (stored), vocabulary, next-event pairs, and the predictor fitted on them."""
+    rows = durable(week_line_z(spark, folder).previous(prev_op="op").rows)
+    vocab = behavior.vocabulary(rows)
+    pairs = rows.filter("prev_op is not null")
+    return rows, vocab, pairs, scoring.fit_predictor(pairs, vocab)
 
 
 def scored(spark, folder):
     """The scored table, stored, as it would be between the stages of a real run."""
-    line, vocab, pairs, model = fitted(spark, folder)
+    rows, vocab, pairs, model = fitted(spark, folder)
     residuals = scoring.residuals(scoring.with_prediction(pairs, model))
     thresholds = durable(scoring.category_thresholds(residuals, vocab))
-    return durable(scoring.score_events(line, model, thresholds)), vocab, pairs, model, thresholds
+    table = scoring.score(scoring.with_prediction(rows, model), thresholds)
+    return durable(table), vocab, pairs, model, thresholds
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -94,7 +95,7 @@ def user_gaps(spark, folder):
 
 def _histogram(spark, folder):
     line = user_line(spark, folder)
-    positive = gaps.positive_gaps(line)
+    positive = durable(gaps.positive_gaps(line))
     return gaps.gap_histogram(positive, gaps.gap_statistics(positive, line.total))
 
 
@@ -107,7 +108,8 @@ def otsu_threshold(spark, folder):
 
 
 def session_curve(spark, folder):
-    return gaps.session_curve(user_line(spark, folder))
+    line = user_line(spark, folder)
+    return gaps.session_curve(gaps.positive_gaps(line), line.groups)
 
 
 def elbow_threshold(spark, folder):
@@ -126,12 +128,11 @@ def session_rollup(spark, folder):
 # --- features ---------------------------------------------------------------------------------------------------------
 
 def global_robust_stats(spark, folder):
-    return rounded(features.global_robust_stats(user_line(spark, folder)), median=6, mad=6)
+    return rounded(features.global_robust_stats(user_line(spark, folder).store("gap_us")), median=6, mad=6)
 
 
 def _order_stats(spark, folder):
-    line = order_line(spark, folder)
-    return features.user_robust_stats(line, features.global_robust_stats(line))
+    return features.feature_stats(order_line(spark, folder))
 
 
 def user_robust_stats(spark, folder):
@@ -145,8 +146,7 @@ def fallback_users(spark, folder):
 
 def robust_z(spark, folder):
     line = user_line(spark, folder)
-    stats = features.user_robust_stats(line, features.global_robust_stats(line))
-    out = features.with_robust_z(line, stats).rows
+    out = features.with_robust_z(line, features.feature_stats(line)).rows
     return rounded(out.select("event_id", "robust_z", "robust_z_clipped"), robust_z=6, robust_z_clipped=6)
 
 
@@ -391,7 +391,7 @@ def file_fingerprints(spark, folder):
 
 def run_metadata(spark, folder):
     line = user_line(spark, folder)
-    positive = gaps.positive_gaps(line)
+    positive = durable(gaps.positive_gaps(line))
     stats = durable(gaps.gap_statistics(positive, line.total))
     return tables.run_metadata({
         "threshold": gaps.select_threshold(line),
@@ -487,14 +487,14 @@ def audit_table(spark, folder):
 
 def evaluate_against_audit(spark, folder):
     """Inject, score with the model of the clean table, and see how well the score finds the changed rows."""
-    line, vocab, pairs, model = fitted(spark, folder)
+    _, vocab, pairs, model = fitted(spark, folder)
     thresholds = durable(scoring.category_thresholds(scoring.residuals(scoring.with_prediction(pairs, model)), vocab))
     changed = injected(spark, folder)
     audit = injection.audit_table(changed, RULES, SEED, "event_id")
     dirty = gaps.with_session_gap(gaps.session_timeline(injection.changed_events(changed), TIE))
     dirty = features.with_model_z(dirty, features.raw_scale_stats(dirty))
     table = scoring.score_events(dirty, model, thresholds)
-    labelled = evaluation.label_from_audit(table, audit, "event_id")
+    labelled = evaluation.label_from_audit(table.select("event_id", "S"), audit, "event_id")
     tallied = durable(evaluation.tally(labelled.withColumn("S", F.round("S", 9)), "S", "label"))
     auc = evaluation.roc_auc(tallied)
     ap = evaluation.average_precision(tallied).select("average_precision").scalar()
@@ -516,7 +516,7 @@ def stream_sessions(spark, folder):
 
 def stream_features(spark, folder):
     line = user_line(spark, folder)
-    stats = durable(features.user_robust_stats(line, features.global_robust_stats(line)))
+    stats = durable(features.feature_stats(line))
     out = flows.features_to_table(spark, read(spark, folder, "events").schema, f"{folder}/events.parquet", stats)
     return rounded(out, robust_z=6, burst_ratio=6)
 

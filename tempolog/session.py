@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there from now on.
+    """Write ``df`` once as a table in the shared folder and read it from there from now on.
 
     Used where a result is not reproducible from its inputs alone (the bounds of a range partitioning are
-    sampled), or is small and used many times (model tables).
+    sampled), where several passes would otherwise repeat a shuffle, and for the small tables of a model.
+    Later passes read only the columns they need, and a lost executor costs nothing but its running tasks.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

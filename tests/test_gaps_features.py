@@ -63,7 +63,7 @@ def test_otsu_against_direct_variances(spark):
 
 def test_session_curve_counts_larger_gaps(spark, windows):
     rows = by_times([0, 1, 3, 6, 16], "a") + by_times([0, 2, 2.0005], "b")
-    curve = {r.gap_us / 1e6: r.sessions for r in gaps.session_curve(timeline_of(spark, rows)).collect()}
+    curve = {r.gap_us / 1e6: r.sessions for r in gaps.session_curve(gaps.positive_gaps(timeline_of(spark, rows)), 2).collect()}
     every = [1, 2, 3, 10, 2, 0.0005]
     assert curve == {g: 2 + sum(o > g + GAP_EPSILON for o in every) for g in set(every)}
 
