@@ -194,6 +194,12 @@ def auto_sessions(events: DataFrame, tie: Sequence[str], threshold_seconds: floa
     return assign_sessions(line, threshold_seconds)
 
 
+def with_elapsed(line: Timeline) -> Timeline:
+    """Add ``elapsed_seconds`` since the session's first event, the running sum of a session timeline's gaps."""
+    line = line.within("uid", "session_id").running("sum", "_elapsed", "gap_us")
+    return line.map(elapsed_seconds=seconds("_elapsed")).drop("_elapsed")
+
+
 def session_rollup(sessions: DataFrame) -> DataFrame:
     """One row per session: number of events, first and last time, span in seconds."""
     return sessions.groupBy("uid", "session_id").agg(

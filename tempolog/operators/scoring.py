@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tempolog.operators.behavior import transition_counts
 from tempolog.plans.joins import lookup
@@ -112,3 +112,9 @@ def scored_table(scored: DataFrame) -> DataFrame:
 def top_anomalies(scored: DataFrame, k: int, tie: list[str]) -> DataFrame:
     """The k highest combined scores."""
     return scored.orderBy(F.col("S").desc(), *tie).limit(k)
+
+
+def top_anomalies_per_user(scored: DataFrame, k: int, tie: list[str]) -> DataFrame:
+    """The k highest scores of every user, with their ``place``. Spark keeps only k rows per user and task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("uid").orderBy(F.col("S").desc(), *tie))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)

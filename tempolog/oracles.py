@@ -182,6 +182,18 @@ ORACLES = {
     "assign_sessions": f"WITH {SESS} SELECT event_id, uid, session_no, session_id FROM sess",
     "session_rollup": f"""WITH {SESS} SELECT uid, session_id, count(*) AS n_events, min(ts_us) AS start_us, max(ts_us) AS end_us,
       (max(ts_us) - min(ts_us)) / 1e6 AS span_seconds FROM sess GROUP BY ALL""",
+    "elapsed_in_session": f"WITH {WGAP} SELECT event_id, session_id, (ts_us - min(ts_us) OVER (PARTITION BY uid, session_id)) / 1e6 AS elapsed_seconds FROM wg",
+    "deltified_table": f"""WITH {SESS}{GSTATS[len(GAPS):]}{USTATS}, h0 AS (SELECT *, list(gap_us) OVER (PARTITION BY uid ORDER BY ts_us, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM sess),
+      roll AS (SELECT *, coalesce(len(h), 0) AS k, list_sort(h) AS o, ln(gap_us / 1e6 + 1e-3) AS x FROM h0)
+      SELECT ts_us AS timestamp_utc, roll.uid, session_id, 'GET' AS method, op AS path, '-' AS referer, 'agent' AS user_agent, '' AS ip, op AS op_category,
+      gap_us / 1e6 AS delta_t_seconds, round(x, 6) AS log_delta_t,
+      round(CASE WHEN gap_us = 0 THEN 0 ELSE (x - us.median) / (1.4826 * us.mad) END, 6) AS robust_z,
+      round(CASE WHEN gap_us = 0 THEN 0 ELSE least(5, greatest(-5, (x - us.median) / (1.4826 * us.mad))) END, 6) AS robust_z_clipped,
+      CASE WHEN k = 0 THEN gap_us / 1e6 ELSE (o[(k - 1) // 4 + 1] * 4 + (k - 1) % 4 * (o[least((k - 1) // 4 + 2, k)] - o[(k - 1) // 4 + 1])) / 4e6 END AS prev_q25_seconds,
+      CASE WHEN k = 0 THEN gap_us / 1e6 ELSE (o[3 * (k - 1) // 4 + 1] * 4 + 3 * (k - 1) % 4 * (o[least(3 * (k - 1) // 4 + 2, k)] - o[3 * (k - 1) // 4 + 1])) / 4e6 END AS prev_q75_seconds,
+      round((CASE WHEN k = 0 THEN gap_us ELSE h[k] END / 1e6 + 1e-3) / (gap_us / 1e6 + 1e-3), 6) AS burst_ratio FROM roll JOIN us USING (uid)""",
+    "top_anomalies_per_user": f"""WITH {SCORED}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY S DESC, event_id) AS INT) AS place FROM sc)
+      SELECT uid, place, event_id, round(S, 6) AS score FROM t WHERE place <= 3""",
     "global_robust_stats": f"WITH {GSTATS} SELECT n, round(median, 6) AS median, round(mad, 6) AS mad FROM gs",
     "user_robust_stats": f"WITH {ORDER_STATS} SELECT uid, n, round(median, 6) AS median, round(mad, 6) AS mad, is_fallback FROM us",
     "fallback_users": f"WITH {ORDER_STATS} SELECT uid, n FROM us WHERE is_fallback = 1",

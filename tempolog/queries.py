@@ -8,10 +8,10 @@ from tempolog.functions.scalars import hmac_sha256, log_gap, micros, parse_time
 from tempolog.operators import (
     behavior, detection, evaluation, features, gaps, injection, quality, scoring, signals)
 from tempolog.plans.timeline import Timeline
-from tempolog.schema import CONTRACT_COLUMNS, CONTRACT_SCHEMA
+from tempolog.schema import CONTRACT_COLUMNS, CONTRACT_SCHEMA, DELTIFIED_COLUMNS
 from tempolog.session import durable, shared_folder
 from tempolog.sources import tables
-from tempolog.sources.events import as_events
+from tempolog.sources.events import as_events, from_contract, to_stage
 from tempolog.streaming import flows
 
 TIE = ["event_id"]
@@ -125,6 +125,10 @@ def session_rollup(spark, folder):
     return gaps.session_rollup(gaps.auto_sessions(events(spark, folder), TIE).rows)
 
 
+def elapsed_in_session(spark, folder):
+    return gaps.with_elapsed(week_line(spark, folder)).rows.select("event_id", "session_id", "elapsed_seconds")
+
+
 # --- features ---------------------------------------------------------------------------------------------------------
 
 def global_robust_stats(spark, folder):
@@ -158,6 +162,22 @@ def burst_ratio(spark, folder):
     return rounded(features.with_rolling(user_line(spark, folder)).rows.select("event_id", "burst_ratio"), burst_ratio=6)
 
 
+def deltified_table(spark, folder):
+    """Raw text to the full feature table: map, check, normalise, find sessions, add features."""
+    df = read(spark, folder, "events")
+    time = F.date_format(F.timestamp_micros(micros(df, "ts")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    raw = df.select("event_id", time.alias("time"), F.col("user_id").alias("user"), F.lit("none").alias("session"),
+                    F.lit("GET").alias("verb"), F.col("event_type").alias("url"), F.lit("-").alias("from"),
+                    F.lit("agent").alias("agent"), F.col("event_type").alias("kind"))
+    mapped = quality.map_columns(raw, RAW_MAPPING, keep=TIE)
+    quality.require_clean(quality.check_required(mapped, "event_id"))
+    quality.require_clean(quality.check_timestamps(mapped, "event_id"))
+    line = gaps.auto_sessions(from_contract(quality.normalize_contract(mapped), TIE), TIE)
+    table = to_stage(features.deltify(line).rows, DELTIFIED_COLUMNS)
+    out = table.withColumn("timestamp_utc", F.unix_micros("timestamp_utc"))
+    return rounded(out, log_delta_t=6, robust_z=6, robust_z_clipped=6, burst_ratio=6)
+
+
 def session_gaps_raw_z(spark, folder):
     return rounded(week_line_z(spark, folder).rows.select("event_id", "session_id", "gap_us", "z"), z=6)
 
@@ -246,6 +266,11 @@ def top_anomalies(spark, folder):
     return rounded(scoring.top_anomalies(scored(spark, folder)[0], TOP, TIE).select("event_id", F.col("S").alias("score")), score=6)
 
 
+def top_anomalies_per_user(spark, folder):
+    top = scoring.top_anomalies_per_user(scored(spark, folder)[0], 3, TIE)
+    return rounded(top.select("uid", "place", "event_id", F.col("S").alias("score")), score=6)
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 
 def _predicted(spark, folder):
@@ -527,6 +552,7 @@ def stream_transition_counts(spark, folder):
 
 QUERIES = {q.__name__: _pinned(q) for q in (
     user_gaps, gap_histogram, otsu_threshold, session_curve, elbow_threshold, assign_sessions, session_rollup,
+    elapsed_in_session, deltified_table, top_anomalies_per_user,
     global_robust_stats, user_robust_stats, robust_z, rolling_quartiles, burst_ratio, fallback_users, session_gaps_raw_z,
     initial_distribution, transition_matrix, lognormal_params, model_summary, model_checks, next_event_pairs,
     session_sequences, encode_category, group_kfold, score_events, category_thresholds, flag_events, top_anomalies,
