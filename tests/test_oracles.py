@@ -4,6 +4,7 @@ import math
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,7 +28,7 @@ def db():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else (float(v) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v)
+    clean = lambda v: None if pd.isna(v) else (float(v) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v)
     return list(frame.columns), sorted((tuple(clean(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 
