@@ -249,7 +249,7 @@ ORACLES = {
     "evaluation_report": f"""WITH {SCORED}{CLASSES}{DELAY} SELECT (SELECT round(avg(CAST(op = best_op AS INT)), 9) FROM pr) AS f1,
       round(pr_auc, 9) AS pr_auc, round(roc_auc, 9) AS roc_auc, round(delay_seconds, 3) AS detection_delay FROM mac, delay""",
     "map_contract": f"WITH {RAW} SELECT event_id, timestamp_utc, uid, session_id, method, path, referer, user_agent, ip, op_category FROM raw",
-    "normalize_timestamps": f"WITH {RAW} SELECT event_id, true_us AS ts_us FROM raw",
+    "normalize_timestamps": f"WITH {RAW} SELECT event_id, CAST(true_us AS VARCHAR) AS ts_us FROM raw",
     "contract_violations": f"""WITH {RAW}
       SELECT r.rule, CAST(event_id AS VARCHAR) AS row_key, 'uid' AS column_name, uid AS value FROM raw, (VALUES ('MISSING_REQUIRED_VALUE'), ('EMPTY_VALUE')) r(rule) WHERE uid = ''
       UNION ALL SELECT r.rule, CAST(event_id AS VARCHAR), 'referer', referer FROM raw, (VALUES ('MISSING_REQUIRED_VALUE'), ('EMPTY_VALUE')) r(rule) WHERE referer = ''
@@ -291,11 +291,11 @@ ORACLES = {
       SELECT event_id, wait_us, CAST(ts_us + coalesce(sum(after_us - wait_us) OVER (PARTITION BY uid, session_id ORDER BY ts_us, event_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_ts_us, CAST(hit AS INT) AS hits FROM a""",
     "inject_time_propagate": f"WITH {TIME_HITS} SELECT event_id, new_ts_us, h0::INT + h1::INT + h2::INT AS hits FROM tim",
-    "inject_order_swap": "WITH " + WEEK + swap("wk", "sa", f"{draw('order', 0)} <= 0.2", 0) + " SELECT event_id, op, with0 AS swap_with FROM sa",
+    "inject_order_swap": "WITH " + WEEK + swap("wk", "sa", f"{draw('order', 0)} <= 0.2", 0) + " SELECT event_id, op, CAST(with0 AS VARCHAR) AS swap_with FROM sa",
     "inject_unauth": "WITH " + WEEK + forge("wk", "fo") + " SELECT event_id, session_id, unauth FROM fo",
     "inject_token_replay": "WITH " + WEEK + forge("wk", "fo") + replay("fo", "inj") + " SELECT event_id, session_id, replay, replay_owner FROM inj",
-    "audit_table": f"""WITH {AUDIT} SELECT type, 42::BIGINT AS seed, record_index, mode, op, uid, op_category, seconds_before, seconds_after, scale, delta, swap_with, op_before, op_after, swap_op_before, swap_op_after, constraint_ AS "constraint",
-      session_original, session_mutated, session_replayed, token_owner_uid, auth_required FROM au""",
+    "audit_table": f"""WITH {AUDIT} SELECT type, 42::BIGINT AS seed, record_index, mode, op, uid, op_category, seconds_before, seconds_after, scale, delta, CAST(swap_with AS VARCHAR) AS swap_with, op_before, op_after, swap_op_before, swap_op_after, constraint_ AS "constraint",
+      session_original, session_mutated, session_replayed, token_owner_uid, CASE WHEN auth_required = 1 THEN 'true' END AS auth_required FROM au""",
     "evaluate_against_audit": f"""WITH {AUDIT}, c0 AS (SELECT event_id, uid, new_ts_us AS ts_us, op, session_id FROM inj),
       c1 AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER w, 0) AS gap_us, lag(op) OVER w AS prev_op FROM c0 WINDOW w AS (PARTITION BY uid, session_id ORDER BY ts_us, event_id)),
       c2 AS (SELECT quantile_cont(gap_us / 1e6, 0.5) AS med FROM c1),
