@@ -10,6 +10,7 @@ from tempolog.functions.scalars import seconds
 from tempolog.plans.timeline import Timeline, timeline
 from tempolog.operators.features import fit_log
 from tempolog.schema import FIT_EPSILON
+from tempolog.session import durable
 
 MAX_VOCABULARY = 10_000  # operations are categories: a longer list is a wrong column, and too long to enumerate
 
@@ -150,7 +151,7 @@ def group_kfold(events: DataFrame, n_splits: int, level: str = "session") -> Dat
     if level not in ("session", "user"):
         raise ValueError(f"unsupported level: {level}")
     keys = ["uid", "session_id"] if level == "session" else ["uid"]
-    groups = timeline(events.select(*keys).distinct(), [], keys)
+    groups = timeline(durable(events.select(*keys).distinct()), [], keys)
     if groups.total < n_splits:
         raise ValueError("fewer groups than folds")
     return groups.position("_pos").rows.select(*keys, F.pmod(F.col("_pos") - 1, F.lit(n_splits)).cast("int").alias("fold"))

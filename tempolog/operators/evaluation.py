@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tempolog.functions.scalars import seconds
 from tempolog.operators.scoring import Predictor
 from tempolog.plans.timeline import timeline
+from tempolog.session import durable
 
 
 def micro_f1(predicted: DataFrame) -> DataFrame:
@@ -29,9 +30,12 @@ def loss_summary(predicted: DataFrame, lambda_time: float = 1.0, delta: float =
 
 
 def tally(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by..., score, n, n_pos``: rows and positives per distinct score. All ranking metrics start here."""
-    return rows.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_pos"))
+    """``by..., score, n, n_pos``: rows and positives per distinct score. All ranking metrics start here.
+
+    Stored, as each metric counts it and then sorts it, in a direction of its own.
+    """
+    return durable(rows.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_pos")))
 
 
 def roc_auc(tallied: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -75,17 +79,14 @@ def one_vs_rest(model: Predictor, vocab: DataFrame, pairs: DataFrame) -> DataFra
             .join(model.pairs, ["prev_op", "op"], "left")
             .join(model.sources.select("prev_op", "total"), "prev_op", "left"))
     p = (F.coalesce("n", F.lit(0)) + F.lit(alpha)) / (F.coalesce("total", F.lit(0)) + 1)
-    return grid.groupBy(F.col("op").alias("cls"), p.alias("score")).agg(
-        F.sum("rows").alias("n"), F.sum(F.coalesce("m", F.lit(0))).cast("bigint").alias("n_pos"))
+    return durable(grid.groupBy(F.col("op").alias("cls"), p.alias("score")).agg(
+        F.sum("rows").alias("n"), F.sum(F.coalesce("m", F.lit(0))).cast("bigint").alias("n_pos")))
 
 
 def explode_classes(rows: DataFrame, probabilities: str, label: str) -> DataFrame:
     """The same tally for an outside predictor that gives a map operation -> probability per row."""
-    return (
-        rows.select(F.explode(probabilities).alias("cls", "score"), F.col(label).alias("_label"))
-        .groupBy("cls", "score").agg(
-            F.count(F.lit(1)).alias("n"), F.sum((F.col("cls") == F.col("_label")).cast("bigint")).alias("n_pos"))
-    )
+    spread = rows.select(F.explode(probabilities).alias("cls", "score"), F.col(label).alias("_label"))
+    return tally(spread.withColumn("hit", F.col("cls") == F.col("_label")), "score", "hit", by=["cls"])
 
 
 def macro_over_classes(tallied: DataFrame) -> DataFrame:

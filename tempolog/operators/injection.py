@@ -139,7 +139,7 @@ def inject_token_replay(rows: DataFrame, sessions: DataFrame, rules: Sequence[Ru
     list and steps over what is left out, so finding the session is one join on the number.
     Needs ``session_before``; skips rows with ``unauth``. Adds ``replay`` and ``replay_owner``.
     """
-    numbered = timeline(sessions, [], ["owner", "session_id"]).position("_rank").rows
+    numbered = timeline(durable(sessions), [], ["owner", "session_id"]).position("_rank").rows
     numbered = durable(numbered.withColumn("_rank", F.col("_rank") - 1))
     count = numbered.count()
     blocks = durable(numbered.groupBy(F.col("owner").alias("uid")).agg(

@@ -301,7 +301,7 @@ def average_precision(spark, folder):
 
 def macro_auc(spark, folder):
     _, vocab, pairs, model = fitted(spark, folder)
-    per_class = durable(evaluation.one_vs_rest(model, vocab, pairs))
+    per_class = evaluation.one_vs_rest(model, vocab, pairs)
     return rounded(evaluation.macro_over_classes(per_class), roc_auc=9, pr_auc=9)
 
 
@@ -311,7 +311,7 @@ def detection_delay(spark, folder):
 
 def evaluation_report(spark, folder):
     table, vocab, pairs, model, _ = scored(spark, folder)
-    per_class = durable(evaluation.one_vs_rest(model, vocab, pairs))
+    per_class = evaluation.one_vs_rest(model, vocab, pairs)
     report = evaluation.evaluation_report(scoring.with_prediction(pairs, model), table, per_class)
     return rounded(report, f1=9, pr_auc=9, roc_auc=9, detection_delay=3)
 
@@ -521,7 +521,7 @@ def evaluate_against_audit(spark, folder):
     dirty = features.with_model_z(dirty, features.raw_scale_stats(dirty))
     table = scoring.score_events(dirty, model, thresholds)
     labelled = evaluation.label_from_audit(table.select("event_id", "S"), audit, "event_id")
-    tallied = durable(evaluation.tally(labelled.withColumn("S", F.round("S", 9)), "S", "label"))
+    tallied = evaluation.tally(labelled.withColumn("S", F.round("S", 9)), "S", "label")
     auc = evaluation.roc_auc(tallied)
     ap = evaluation.average_precision(tallied).select("average_precision").scalar()
     return rounded(auc.withColumn("average_precision", ap), roc_auc=6, average_precision=6)
