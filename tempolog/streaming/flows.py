@@ -130,6 +130,8 @@ def to_table(spark: SparkSession, stream: DataFrame, name: str, folder: str | No
 
 
 def sessions_to_table(spark, schema, path, threshold_seconds, folder=None) -> DataFrame:
+    # Events of a session are merged where they are read, so a busy user sends sessions, not events, over the network.
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return to_table(spark, stream_sessions(read_events(spark, schema, path), threshold_seconds), "sessions", folder)
 
 
