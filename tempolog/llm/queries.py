@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import simhash, token_count
+from tempolog.llm import quality_classifier, simhash, substring, token_count
 
 TOKEN_LIMIT = 2048
 
@@ -27,4 +27,12 @@ def op3_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup)}
+def op5_substring_dedup(spark, folder):
+    return substring.removal_report(_read(spark, folder, "documents"))
+
+
+def op6_quality_classifier(spark, folder):
+    return quality_classifier.quality_scores(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op5_substring_dedup, op6_quality_classifier)}
