@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import quality_classifier, simhash, substring, token_count
+from tempolog.llm import packing, quality_classifier, simhash, substring, token_count
 
 TOKEN_LIMIT = 2048
 
@@ -35,4 +35,9 @@ def op6_quality_classifier(spark, folder):
     return quality_classifier.quality_scores(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op5_substring_dedup, op6_quality_classifier)}
+def op9_packing(spark, folder):
+    return packing.pack(_read(spark, folder, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_token_counts, op3_simhash_near_dedup, op5_substring_dedup, op6_quality_classifier, op9_packing)}

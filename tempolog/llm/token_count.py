@@ -75,32 +75,42 @@ class Merges:
         return left
 
 
-class TokenCounter:
-    """Counts of one tokenizer file.
-
-    The file's merges, its splitting pattern, its end-of-word mark and its special tokens are read from it. Pieces are
-    merged here; only the normaliser and the splitter of texts outside ``PLAIN`` are the library's.
-    """
+class Splitter:
+    """What a tokenizer file says about splitting: its pattern, its byte alphabet and its special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model = spec["model"]
-        self.merges = Merges([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
-        self.end = model["end_of_word_suffix"] or ""
+            self.spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        special = [t["content"] for t in spec["added_tokens"]]
+        self.split = regex.compile(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        special = [t["content"] for t in self.spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        alphabet = dict(zip(map(ord, map(chr, range(33, 127))), map(chr, range(33, 127))))
+        self.alphabet = {i: chr(i) for i in range(33, 127)}
         for c in map(chr, range(0xA1, 0x180)):
             shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)
-            alphabet.update(zip(c.encode(), "".join(x for x, _ in shown)))
+            self.alphabet.update(zip(c.encode(), "".join(x for x, _ in shown)))
+
+    def plain(self, text: str) -> bool:
+        """Whether the text may be cut at white space and its pieces taken by ``split``."""
+        return PLAIN.fullmatch(text) is not None and (self.special is None or not self.special.search(text))
+
+
+class TokenCounter(Splitter):
+    """Counts of one tokenizer file.
+
+    Pieces are merged here; only the normaliser and the splitter of texts outside ``PLAIN`` are the library's.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model = self.spec["model"]
+        self.merges = Merges([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        self.end = model["end_of_word_suffix"] or ""
         symbol = self.merges.symbol
-        self.inner = {b: symbol(c) for b, c in alphabet.items()}
-        self.last = {b: symbol(c + self.end) for b, c in alphabet.items()}
+        self.inner = {b: symbol(c) for b, c in self.alphabet.items()}
+        self.last = {b: symbol(c + self.end) for b, c in self.alphabet.items()}
         self.pieces = Cache(self._piece, CACHE_ENTRIES // 2)
         self.chunks = Cache(self._chunk, 2 * CACHE_ENTRIES)
 
