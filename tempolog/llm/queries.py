@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import packing, quality_classifier, simhash, substring, token_count
+from tempolog.llm import decontaminate, packing, quality_classifier, simhash, substring, token_count
 
 TOKEN_LIMIT = 2048
 
@@ -39,5 +39,11 @@ def op9_packing(spark, folder):
     return packing.pack(_read(spark, folder, "documents"), tokenizer_path())
 
 
+def op10_benchmark_decontamination(spark, folder):
+    found = decontaminate.contaminated(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.drop("text_key")
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_simhash_near_dedup, op5_substring_dedup, op6_quality_classifier, op9_packing)}
+    op2_token_counts, op3_simhash_near_dedup, op5_substring_dedup, op6_quality_classifier, op9_packing,
+    op10_benchmark_decontamination)}
