@@ -9,7 +9,7 @@ from tempolog.llm import decontaminate, packing, quality_classifier, simhash, su
 TOKEN_LIMIT = 2048
 
 
-def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -20,27 +20,27 @@ def tokenizer_path() -> str:
 
 
 def op2_token_counts(spark, folder):
-    return token_count.token_counts(_read(spark, folder, "documents"), tokenizer_path(), TOKEN_LIMIT)
+    return token_count.token_counts(read_table(spark, folder, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
 
 def op3_simhash_near_dedup(spark, folder):
-    return simhash.near_duplicates(_read(spark, folder, "documents"))
+    return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
 def op5_substring_dedup(spark, folder):
-    return substring.removal_report(_read(spark, folder, "documents"))
+    return substring.removal_report(read_table(spark, folder, "documents"))
 
 
 def op6_quality_classifier(spark, folder):
-    return quality_classifier.quality_scores(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+    return quality_classifier.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
 def op9_packing(spark, folder):
-    return packing.pack(_read(spark, folder, "documents"), tokenizer_path())
+    return packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
 
 
 def op10_benchmark_decontamination(spark, folder):
-    found = decontaminate.contaminated(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    found = decontaminate.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.drop("text_key")
 
 
