@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import decontaminate, packing, quality_classifier, simhash, substring, token_count
+from tempolog.llm import decontaminate, packing, quality_classifier, simhash, substring, token_count, topk
 
 TOKEN_LIMIT = 2048
 
@@ -27,6 +27,10 @@ def op3_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op4_exact_top_k(spark, folder):
+    return topk.top_k(read_table(spark, folder, "embeddings"))
+
+
 def op5_substring_dedup(spark, folder):
     return substring.removal_report(read_table(spark, folder, "documents"))
 
@@ -45,5 +49,5 @@ def op10_benchmark_decontamination(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_simhash_near_dedup, op5_substring_dedup, op6_quality_classifier, op9_packing,
+    op2_token_counts, op3_simhash_near_dedup, op4_exact_top_k, op5_substring_dedup, op6_quality_classifier, op9_packing,
     op10_benchmark_decontamination)}
