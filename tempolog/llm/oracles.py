@@ -1,6 +1,70 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from __future__ import annotations
+
+from tempolog.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES, words_of
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+
+def _license_scan() -> str:
+    phrases = ", ".join(f"({[w.decode() for w in words_of(p.encode())]}, '{x}')" for p, x in PHRASES.items())
+    templates = ", ".join(f"({sorted({w.decode() for w in words_of(t.encode())})}, '{x}')" for t, x in TEMPLATES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, {_WORDS.format('text')} AS words FROM d),
+phrase(p, label) AS (VALUES {phrases}),
+template(t, label) AS (VALUES {templates}),
+hits AS (
+  SELECT r, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1:i + len(p)] = p)) AS place FROM w, phrase),
+base AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY r),
+lines AS (
+  SELECT r, list_distinct({_WORDS.format('line')}) AS block FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+held AS (
+  SELECT r, label, len(list_intersect(t, block)) / len(t) AS share FROM lines, template
+  WHERE len(list_intersect(t, block)) >= ceil({CONTAINMENT} * len(t) - 1e-9)),
+labelled AS (SELECT DISTINCT r, label FROM hits UNION SELECT DISTINCT r, label FROM held),
+named AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY r),
+best AS (SELECT r, max(share) AS share FROM held GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS DOUBLE) AS first_word, CAST(last_word AS DOUBLE) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (r)
+"""
+
+
 ORACLES = {
+    "op1_license_scan": _license_scan(),
+    "op5_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT r, doc_id, place, md5(array_to_string(words[place + 1:place + 50], ' ')) AS h
+  FROM (SELECT r, doc_id, words, unnest(range(len(words) - 49)) AS place FROM d WHERE len(words) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+cut AS (
+  SELECT r, list(place) AS places FROM windows JOIN firsts USING (h) WHERE first < doc_id GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(place, place + 50)) AS i FROM (SELECT r, unnest(places) AS place FROM cut)),
+cuts AS (SELECT r, list(i) AS gone FROM gone GROUP BY r),
+kept AS (
+  SELECT d.r, array_to_string(list_transform(list_filter(range(len(words)), lambda i: NOT list_contains(gone, i)), lambda i: words[i + 1]), ' ') AS text
+  FROM d JOIN cuts USING (r))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, array_to_string(words, ' '))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (r) LEFT JOIN kept USING (r)
+""",
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+owners AS (SELECT payload_digest, min(page_id) AS owner FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CAST(CASE WHEN page_id > owner THEN owner END AS DOUBLE) AS refers_to
+FROM p LEFT JOIN owners USING (payload_digest)
+""",
     "op4_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

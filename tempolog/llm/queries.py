@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import decontaminate, packing, quality_classifier, simhash, substring, token_count, topk
+from tempolog.llm import decontaminate, license_scan, packing, quality_classifier, simhash, substring, token_count, topk, warc
 
 TOKEN_LIMIT = 2048
 
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark, folder):
+    return license_scan.scan(read_table(spark, folder, "documents"))
+
+
 def op2_token_counts(spark, folder):
     return token_count.token_counts(read_table(spark, folder, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
@@ -39,6 +43,10 @@ def op6_quality_classifier(spark, folder):
     return quality_classifier.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op7_warc(spark, folder):
+    return warc.archive_report(read_table(spark, folder, "pages"))
+
+
 def op9_packing(spark, folder):
     return packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
 
@@ -49,5 +57,5 @@ def op10_benchmark_decontamination(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_simhash_near_dedup, op4_exact_top_k, op5_substring_dedup, op6_quality_classifier, op9_packing,
+    op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_exact_top_k, op5_substring_dedup, op6_quality_classifier, op7_warc, op9_packing,
     op10_benchmark_decontamination)}
