@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import decontaminate, license_scan, packing, quality_classifier, simhash, substring, token_count, topk, warc
+from tempolog.llm import decontaminate, html_extract, license_scan, packing, quality_classifier, simhash, substring, token_count, topk, warc
 
 TOKEN_LIMIT = 2048
 
@@ -47,6 +47,10 @@ def op7_warc(spark, folder):
     return warc.archive_report(read_table(spark, folder, "pages"))
 
 
+def op8_html_extraction(spark, folder):
+    return html_extract.extract(read_table(spark, folder, "pages"))
+
+
 def op9_packing(spark, folder):
     return packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
 
@@ -57,5 +61,5 @@ def op10_benchmark_decontamination(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_exact_top_k, op5_substring_dedup, op6_quality_classifier, op7_warc, op9_packing,
+    op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_exact_top_k, op5_substring_dedup, op6_quality_classifier, op7_warc, op8_html_extraction, op9_packing,
     op10_benchmark_decontamination)}
