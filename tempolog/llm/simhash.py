@@ -20,8 +20,10 @@ BITS = 64
 SEED = 42
 # Blocks are made finer until a fingerprint meets at most so many others by chance.
 CHANCE_PARTNERS = 4
-# Larger blocks are split again by the bits that are still free.
+# Larger blocks are split again by the bits that are still free, while these are more than 12; 12 bits tell at most
+# 4096 different fingerprints apart.
 BLOCK_ROWS = 4096
+SMALL_BITS = 12
 _PIECE = 1 << 16
 
 
@@ -106,7 +108,7 @@ def _keyed(rows: DataFrame, blocks: int, distance: int) -> DataFrame:
 
         return work
 
-    return map_batches(rows, start, "key long, mask long, fp long")
+    return map_batches(rows, start, "key long, mask long, fp long", rows=1 << 16)
 
 
 def _roots(group: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
@@ -147,7 +149,7 @@ def _roots(group: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
 def _linked(keyed: DataFrame, distance: int) -> DataFrame:
     """Links inside each block, as ``(a, b, mask)`` with a null mask, and the rows of blocks that are too large.
 
-    Rows arrive sorted by key, so a task holds one batch and one block of at most ``BLOCK_ROWS`` rows. A block's links
+    Rows arrive sorted by key, so a task holds one batch and one block of at most ``BLOCK_ROWS`` rows (4096 where few bits are free). A block's links
     are reduced to one per row; rows of a larger block come out as (key, fp, mask) to be split further.
     """
 
@@ -179,13 +181,14 @@ def _linked(keyed: DataFrame, distance: int) -> DataFrame:
             done = slice(0, last)
             first = np.flatnonzero(np.r_[True, key[done][1:] != key[done][:-1]]) if last else np.zeros(0, int)
             size = np.repeat(np.diff(np.r_[first, last]), np.diff(np.r_[first, last]))
-            large, small = np.flatnonzero(size > BLOCK_ROWS), np.flatnonzero((size > 1) & (size <= BLOCK_ROWS))
+            over_size = (size > BLOCK_ROWS) & (np.bitwise_count(mask[done]) > SMALL_BITS)
+            large, small = np.flatnonzero(over_size), np.flatnonzero((size > 1) & ~over_size)
             if len(large):
                 yield out(key[large], fp[large], mask[large])
             if len(small):
                 yield links(key[small], mask[small], fp[small])
             held = [key[last:], mask[last:], fp[last:]]
-            if len(held[0]) > BLOCK_ROWS:
+            if len(held[0]) > BLOCK_ROWS and int(held[1][0]).bit_count() > SMALL_BITS:
                 yield out(held[0], held[2], held[1])
                 too_large = held[0].view(np.int64)[0]
                 held = [x[:0] for x in held]
@@ -201,7 +204,7 @@ def hamming_links(marks: DataFrame, distance: int = 4, blocks: int | None = None
 
     ``marks`` must have different fingerprints. Pigeonhole: of ``blocks`` blocks, a pair agrees on all but
     ``distance``, so it shares the key of one of the choices. A block of more than ``BLOCK_ROWS`` fingerprints is split
-    again over the bits its key leaves free; each level halves them, so the third holds at most ``BLOCK_ROWS``.
+    again over the bits its key leaves free; each level halves them, down to 12 bits or less.
     """
     if blocks is None:
         blocks = blocks_for(marks.count(), distance)
