@@ -19,7 +19,9 @@ from tempolog.session import durable
 __all__ = ["Cache", "WordHashes", "durable", "int64", "map_batches", "map_partitions", "ragged", "ship", "text_bytes", "text_or_empty"]
 
 # Entries kept by a cache of a Python worker; beyond it, entries are computed again each time they are met.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
+# Rows that are worked on at once, of the batches that arrive: bounds the Python copies of texts.
+ROWS = 2000
 
 
 class Cache(dict):
@@ -86,14 +88,16 @@ def map_partitions(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
-    """Arrow batches through a function that ``start`` makes once per task."""
+def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType,
+                rows: int = ROWS) -> DataFrame:
+    """Arrow batches, ``rows`` at a time, through a function that ``start`` makes once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            out = work(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                out = work(batch.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     return map_partitions(df, run, schema)

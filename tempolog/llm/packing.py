@@ -43,7 +43,7 @@ class Encoder(Splitter):
         super().__init__(path)
         self.model = self.tokenizer.model
         self.pieces = Cache(self._piece, CACHE_ENTRIES // 2)
-        self.chunks = Cache(self._ids, CACHE_ENTRIES * 3 // 2)
+        self.chunks = Cache(self._ids, 2 * CACHE_ENTRIES)
 
     def _ids(self, chunk: str) -> bytes:
         parts = self.split(chunk)
