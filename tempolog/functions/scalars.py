@@ -68,36 +68,51 @@ def hmac_sha256(secret: bytes, message: str | Column) -> Column:
 
 
 # Text forms of a time. ISO 8601 date and time, optional fraction, optional zone.
-ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?"
+ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?"
 ISO_ZONE = r"(Z|[+-]\d{2}(:?\d{2})?(:?\d{2}(\.\d+)?)?)$"
 UTC_ZONE = r"(Z|[+-]00(:?00)?)$"
 DIGITS = r"^\d+$"
+# The seconds at which the years 1 and 10000 begin.
+FIRST_SECOND, END_SECOND = -62_135_596_800, 253_402_300_800
 
 
 def parse_time(text: str | Column) -> Column:
     """Timestamp from epoch seconds, epoch milliseconds (more than ten digits), a float of seconds, or ISO 8601.
 
-    ISO text must carry a zone. Anything else becomes null.
+    ISO text must carry a zone; its basic form, hours alone and fractions of any length (cut to microseconds) are read
+    too. Times outside the years 1 to 9999 and anything else become null.
     """
     text = col(text)
     number = text.try_cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(2.5e11))
+    within = lambda seconds: (seconds >= F.lit(FIRST_SECOND)) & (seconds < F.lit(END_SECOND))
     whole = text.try_cast("bigint")
+    iso = extended_iso(text)
     return (
-        F.when(text.rlike(DIGITS) & F.length(text).between(11, 15), F.timestamp_micros(whole * 1000))
-        .when(text.rlike(DIGITS) & (F.length(text) <= 10), F.timestamp_micros(whole * 1_000_000))
-        .when(finite & ~text.rlike(DIGITS), F.timestamp_micros(F.rint(number * 1e6).cast("bigint")))
-        .when(is_iso(text) & has_zone(text), F.try_to_timestamp(text))
+        F.when(text.rlike(DIGITS) & (F.length(text) > 10), F.when(within(whole / 1000), F.timestamp_micros(whole * 1000)))
+        .when(text.rlike(DIGITS), F.timestamp_micros(whole * 1_000_000))
+        .when(~F.isnan(number) & within(number), F.timestamp_micros(F.rint(number * 1e6).cast("bigint")))
+        .when(is_iso(text) & has_zone(text), F.try_to_timestamp(iso))
     )
 
 
+def extended_iso(text: Column) -> Column:
+    """ISO text with separators, minutes, seconds, and at most six digits of a fraction."""
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=[T ])", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(.{10}[T ]\d{2})(\d{2})(\d{2})?(?=[.,Z+-]|$)", "$1:$2:$3")
+    text = F.regexp_replace(text, r":(?=[Z+-]|$)", "")
+    text = F.regexp_replace(text, r"^(.{10}[T ]\d{2})(?=[Z+-]|$)", "$1:00")
+    text = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(?=[Z+-]|$)", "$1:00")
+    return F.regexp_replace(text, r"[.,](\d{1,6})\d*", ".$1")
+
+
 def is_iso(text: Column) -> Column:
+    text = extended_iso(text)
     return text.rlike(ISO_DATETIME) & text.substr(F.lit(1), F.lit(10)).try_cast("date").isNotNull()
 
 
 def has_zone(text: Column) -> Column:
-    return text.rlike(ISO_DATETIME + ISO_ZONE)
+    return extended_iso(text).rlike(ISO_DATETIME + ISO_ZONE)
 
 
 def is_utc(text: Column) -> Column:
-    return text.rlike(ISO_DATETIME + UTC_ZONE)
+    return extended_iso(text).rlike(ISO_DATETIME + UTC_ZONE)

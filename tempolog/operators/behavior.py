@@ -7,31 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tempolog.functions.scalars import seconds
+from tempolog.plans.joins import lookup
 from tempolog.plans.timeline import Timeline, timeline
 from tempolog.operators.features import fit_log
 from tempolog.schema import FIT_EPSILON
 from tempolog.session import durable
 
-MAX_VOCABULARY = 10_000  # operations are categories: a longer list is a wrong column, and too long to enumerate
-
-
 def vocabulary(events: DataFrame) -> DataFrame:
-    """``op, idx``: the distinct operations numbered in sorted order."""
-    ops = events.select("op").distinct()
-    size = ops.count()
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"{size} distinct operations; expected a category with at most {MAX_VOCABULARY}")
-    return ops.select("op", (F.row_number().over(Window.orderBy("op")) - 1).cast("int").alias("idx"))
+    """``op, idx``: the distinct operations numbered in sorted order, however many they are."""
+    numbered = timeline(durable(events.select("op").distinct()), [], ["op"]).position("_pos").rows
+    return numbered.select("op", (F.col("_pos") - 1).cast("int").alias("idx"))
 
 
 def encode(events: DataFrame, vocab: DataFrame) -> DataFrame:
     """Add ``op_index`` (null for operations outside the vocabulary)."""
-    return events.join(F.broadcast(vocab.withColumnRenamed("idx", "op_index")), "op", "left")
+    return lookup(events, durable(vocab.withColumnRenamed("idx", "op_index")), ["op"])
 
 
 def decode(indices: DataFrame, vocab: DataFrame) -> DataFrame:
     """The inverse of :func:`encode`: add ``op`` from ``op_index``."""
-    return indices.join(F.broadcast(vocab.withColumnRenamed("idx", "op_index")), "op_index", "left")
+    return lookup(indices, durable(vocab.withColumnRenamed("idx", "op_index")), ["op_index"])
 
 
 def _ops_array(vocab: DataFrame) -> Column:
@@ -41,7 +36,7 @@ def _ops_array(vocab: DataFrame) -> Column:
 def initial_distribution(events: DataFrame, tie: Sequence[str], vocab: DataFrame, session=("uid", "session_id")) -> DataFrame:
     """``op, n, p``: how many sessions start with each operation, and the smoothed share (alpha = 1/vocabulary)."""
     firsts = events.groupBy(*session).agg(F.min_by("op", F.struct("ts_us", *tie)).alias("op"))
-    counts = vocab.select("op").join(F.broadcast(firsts.groupBy("op").agg(F.count(F.lit(1)).alias("n"))), "op", "left")
+    counts = vocab.select("op").join(firsts.groupBy("op").agg(F.count(F.lit(1)).alias("n")), "op", "left")
     counts = counts.select("op", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     t = counts.agg(F.struct(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).alias("t"))
     return counts.withColumn("t", t.scalar()).select(
@@ -147,11 +142,11 @@ def session_sequences(line: Timeline, vocab: DataFrame, piece: int = 100_000) ->
 def group_kfold(events: DataFrame, n_splits: int, level: str = "session") -> DataFrame:
     """``uid[, session_id], fold``: groups in sorted order, dealt out in turn, so no group is in two folds."""
     if n_splits < 2:
-        raise ValueError("n_splits must be at least 2")
+        raise ValueError("cross-validation needs two folds or more")
     if level not in ("session", "user"):
-        raise ValueError(f"unsupported level: {level}")
+        raise ValueError(f"level is session or user, not {level}")
     keys = ["uid", "session_id"] if level == "session" else ["uid"]
     groups = timeline(durable(events.select(*keys).distinct()), [], keys)
     if groups.total < n_splits:
-        raise ValueError("fewer groups than folds")
+        raise ValueError("some folds would have no group")
     return groups.position("_pos").rows.select(*keys, F.pmod(F.col("_pos") - 1, F.lit(n_splits)).cast("int").alias("fold"))

@@ -37,8 +37,8 @@ class Rule:
 
     @property
     def text(self) -> str:
-        parts = [f"{n}={v}" for n, v in (("scale", self.scale), ("delta", self.delta)) if v is not None]
-        return ", ".join(parts) or "no parameters"
+        parts = [f"{n} {v}" for n, v in (("times", self.scale), ("plus", self.delta)) if v is not None]
+        return " ".join(parts) or "unchanged"
 
 
 @dataclass(frozen=True)
@@ -232,26 +232,22 @@ def audit_table(injected: DataFrame, rules: Rules, seed: int, index: str) -> Dat
 
         mode, scale, delta = per_rule("mode", "string"), per_rule("scale", "double"), per_rule("delta", "double")
         before, after = hit["seconds_before"], hit["seconds_after"]
-        applied = F.printf(F.lit("Applied %s time anomaly to record %s with %s; seconds %.3f->%.3f."),
-                           mode, idx.cast("string"), per_rule("text", "string"), before, after)
-        effect = F.when(mode == "propagate", F.lit(" Later waits of the session follow.")).otherwise(F.lit(" No other record changed."))
+        reach = F.when(mode == "propagate", F.lit("this wait and all later ones of the session")).otherwise(F.lit("this wait only"))
+        told = F.printf(F.lit("wait of %.3f s became %.3f s (%s; %s)"), before, after, per_rule("text", "string"), reach)
         return entry("time", mode=mode, op=F.col("op"), seconds_before=before, seconds_after=after, scale=scale, delta=delta,
-                     params=F.to_json(F.struct(scale.alias("scale"), delta.alias("delta"))), reason=F.concat(applied, effect))
+                     params=F.to_json(F.struct(scale.alias("scale"), delta.alias("delta"))), reason=told)
 
     def order_entry(swap: Column) -> Column:
         constraint = F.concat_ws("->", swap["before"], swap["other_before"])
         return entry("order", swap_with=swap["with"], op_before=swap["before"], op_after=swap["other_before"],
                      swap_op_before=swap["other_before"], swap_op_after=swap["before"], constraint=constraint,
-                     reason=F.printf(F.lit("Swapped records %s and %s against the order %s."),
-                                     idx.cast("string"), swap["with"].cast("string"), constraint))
+                     reason=F.printf(F.lit("operation traded with row %s, which breaks %s"), swap["with"].cast("string"), constraint))
 
     who = {"op": F.col("op"), "uid": F.col("uid"), "op_category": category, "session_original": F.col("session_before")}
     unauth = entry("unauth", **who, session_mutated=_forged_session("session_before", seed, index), auth_required=F.lit(True),
-                   reason=F.printf(F.lit("Record %s (%s) needs a signed-in session and was given one that nobody signed in to."),
-                                   idx.cast("string"), F.col("op")))
+                   reason=F.printf(F.lit("%s under a session without sign-in"), F.col("op")))
     replay = entry("token_replay", **who, session_replayed=F.col("session_id"), token_owner_uid=F.col("replay_owner"),
-                   reason=F.printf(F.lit("Record %s of %s presents session %s, issued to %s."),
-                                   idx.cast("string"), F.col("uid"), F.col("session_id"), F.col("replay_owner")))
+                   reason=F.printf(F.lit("%s acts under a session of %s"), F.col("uid"), F.col("replay_owner")))
     parts = [F.transform("swaps", order_entry), F.array(F.when(F.col("unauth"), unauth), F.when(F.col("replay"), replay))]
     if rules.time:
         parts.insert(0, F.transform("time_hits", time_entry))

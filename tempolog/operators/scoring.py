@@ -63,9 +63,9 @@ def residuals(predicted: DataFrame) -> DataFrame:
 def category_thresholds(scored: DataFrame, vocab: DataFrame, alpha: float = 0.05, residual: str = "residual") -> DataFrame:
     """``op, tau_lo, tau_hi``: residual quantiles alpha and 1-alpha per operation, null where there are none."""
     if not 0.0 <= alpha <= 0.5:
-        raise ValueError("alpha must be between 0 and 0.5")
+        raise ValueError("a tail share lies in 0 to 0.5")
     found = quantiles(scored, residual, {"tau_lo": alpha, "tau_hi": 1.0 - alpha}, by=["op"])
-    return vocab.select("op").join(F.broadcast(found.drop("n")), "op", "left").select("op", "tau_lo", "tau_hi")
+    return vocab.select("op").join(found.drop("n"), "op", "left").select("op", "tau_lo", "tau_hi")
 
 
 def score(

@@ -269,7 +269,7 @@ ORACLES = {
         FROM num WHERE v IN ('', 'NaN', 'Infinity')
       UNION ALL SELECT 'TIME_NOT_INCREASING', CAST(event_id AS VARCHAR), 'ts_us', CAST(t AS VARCHAR) FROM arr WHERE t <= b""",
     "stage_roundtrip": f"""WITH {RAW} SELECT op_category, path, count(*) AS n, count(DISTINCT nullif(uid, '')) AS users, min(true_us) AS first_us, max(true_us) AS last_us,
-      count(*) FILTER (WHERE referer = '') AS no_referer FROM raw WHERE true_us IS NOT NULL GROUP BY ALL""",
+      count(*) FILTER (WHERE referer = '') AS no_referer FROM raw GROUP BY ALL""",
     "resample_linear": f"WITH {SCORED}{RES} SELECT series, k, t, round(ref, 6) AS ref, round(y, 6) AS y, round(y_base, 6) AS y_base FROM rsm",
     "control_errors": f"""WITH {SCORED}{RES}, e AS (SELECT series, t, abs(ref - y) AS a, coalesce(t - lag(t) OVER (PARTITION BY series ORDER BY t), 0) AS dt FROM rsm)
       SELECT series, round(sum(a * dt), 3) AS iae, round(sum(a * a * dt), 3) AS ise, round(sum(t * a * dt), 0) AS itae FROM e GROUP BY 1""",

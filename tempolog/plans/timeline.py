@@ -179,8 +179,12 @@ class Timeline:
     # --- look-up by key -----------------------------------------------------------------------------------
 
     def attach(self, table: DataFrame) -> Timeline:
-        """Left join a table with one row per ``base`` key; cut keys meet it by broadcast, so none piles up."""
+        """Left join a table with one row per ``base`` key; cut keys meet it by broadcast, so none piles up.
+
+        A null key matches nothing, however many rows have it.
+        """
         keys = list(self.base)
+        table = table.dropna(subset=keys)
         plain = self.plain.join(table, keys, "left")
         if self.cut is None:
             return replace(self, plain=plain)

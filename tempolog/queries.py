@@ -395,7 +395,7 @@ def pseudonymize(spark, folder):
 
 def stage_roundtrip(spark, folder):
     """Contract table to CSV and back through the strict reader."""
-    contract = quality.normalize_contract(mapped_log(spark, folder)).filter("timestamp_utc is not null")
+    contract = quality.normalize_contract(mapped_log(spark, folder))
     path = f"{shared_folder(spark)}/stage-{spark.sparkContext.applicationId}/contract"
     tables.write_stage(contract, path, CONTRACT_COLUMNS, fmt="csv")
     back = tables.read_table(spark, path, CONTRACT_SCHEMA, fmt="csv")

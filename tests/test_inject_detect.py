@@ -95,7 +95,7 @@ def test_swap_and_its_audit(spark):
     audit = {r.type: r for r in injection.audit_table(out, rules, 9, "idx").collect()}
     assert audit["order"].constraint == "login->confirm" and audit["order"].swap_with == 1
     assert audit["time"].op == "confirm"  # the operation after the swap
-    assert audit["time"].reason == "Applied local time anomaly to record 0 with scale=2.0; seconds 10.000->20.000. No other record changed."
+    assert audit["time"].reason == "wait of 10.000 s became 20.000 s (times 2.0; this wait only)"
     assert audit["time"].params == '{"scale":2.0}'
 
 

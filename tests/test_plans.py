@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempolog.operators import behavior
 from tempolog.plans import joins
 from tempolog.plans.quantiles import quantiles
 from tempolog.plans.timeline import timeline
@@ -123,3 +124,18 @@ def test_lookup(spark, data, tiny_windows, monkeypatch, short):
     rows = joins.lookup(frame(spark, data), table, ["k"]).collect()
     assert len(rows) == len(data)
     assert {r.k: r.x for r in rows} == {"hot": 1, "a": 2, "b": None, None: None}
+
+
+def test_null_keys_attach_to_nothing_at_any_size(spark, windows):
+    rows = spark.createDataFrame([(None if i % 2 else "a", i) for i in range(10)], "k string, i long")
+    table = spark.createDataFrame([("a", 1), (None, 2)], "k string, v long")
+    got = timeline(rows, ["k"], ["i"]).attach(table).rows.collect()
+    assert sorted((r.i, r.v) for r in got) == [(i, None if i % 2 else 1) for i in range(10)]
+
+
+def test_a_vocabulary_has_no_limit(spark):
+    events = spark.range(12_000).select(F.format_string("op%05d", "id").alias("op"))
+    vocab = behavior.vocabulary(events)
+    got = behavior.encode(events, vocab)
+    assert got.filter("op_index = cast(substring(op, 3) as int)").count() == 12_000
+    assert behavior.decode(got.select("op_index"), vocab).filter("op is not null").count() == 12_000
