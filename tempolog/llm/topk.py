@@ -17,6 +17,7 @@ BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
 # Entries of each list read at first; later rounds read four times as many each.
 DEPTH = 32
 _EXACT = 1 << 53
+_LONG = 1 << 63
 
 
 class SortedLists:
@@ -88,7 +89,7 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, block: i
     ``BLOCK_QUERIES``; each pair of blocks is one group, in which the threshold algorithm reads the entries' sorted lists.
     Per query and block at most ``k`` entries remain, of which the best ``k`` are ranked. Vectors of different length are not
     compared. Vectors null or with null or non-finite components take no part, nor do rows without vec_id; repeated
-    ids are one row each. Further columns are ignored.
+    ids are one row each. Scores beyond 64 bits are given as the nearest long. Further columns are ignored.
     """
     rows = durable(scaled(vectors, column))
     ship(vectors.sparkSession)
@@ -112,7 +113,7 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, block: i
             for query_id, w in zip(queries["query_id"], queries["w"]):
                 # An entry of several equal vectors may hold the query itself, so no entry is left out here.
                 ids, scores = lists.top(np.asarray(w), k + 1)
-                out += [(query_id, e, s) for e, s in zip(ids, scores)]
+                out += [(query_id, e, min(max(int(s), -_LONG), _LONG - 1)) for e, s in zip(ids, scores)]
         frame = pd.DataFrame(out, columns=["query_id", "entry", "score"])
         return frame.astype({"query_id": "int64", "entry": "int64", "score": "int64"})
 
