@@ -315,7 +315,7 @@ ORACLES = {
     # Streams: closed sessions are those the watermark (latest time minus one hour, whole milliseconds) has passed.
     "stream_sessions": f"""WITH {GAPS}, s AS (SELECT *, sum(CASE WHEN is_first OR gap_us > 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY ts_us, event_id) AS no FROM g),
       r AS (SELECT uid, no, count(*) AS n_events, min(ts_us) AS start_us, max(ts_us) AS end_us FROM s GROUP BY ALL)
-      SELECT uid, n_events, start_us, end_us FROM r WHERE end_us + 14400000000 <= ((SELECT max(ts_us) FROM ev) // 1000 - 3600000) * 1000""",
+      SELECT uid, n_events, start_us, end_us, CAST(end_us + 14400000000 <= ((SELECT max(ts_us) FROM ev) // 1000 - 3600000) * 1000 AS INTEGER) AS is_final FROM r""",
     "stream_features": f"""WITH {GSTATS}{USTATS}, h0 AS (SELECT *, list(gap_us) OVER (PARTITION BY uid ORDER BY ts_us, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM lg),
       roll AS (SELECT *, len(h) AS k, list_sort(h) AS o FROM h0)
       SELECT roll.uid, event_id, gap_us, round(CASE WHEN gap_us = 0 THEN 0 ELSE least(5, greatest(-5, (x - us.median) / (1.4826 * us.mad))) END, 6) AS robust_z,

@@ -537,7 +537,8 @@ def _pinned(query):
 
 
 def stream_sessions(spark, folder):
-    return flows.sessions_to_table(spark, read(spark, folder, "events").schema, f"{folder}/events.parquet", STREAM_THRESHOLD_SECONDS)
+    found = flows.sessions_so_far(spark, read(spark, folder, "events").schema, f"{folder}/events.parquet", STREAM_THRESHOLD_SECONDS)
+    return found.withColumn("is_final", F.col("is_final").cast("int"))
 
 
 def stream_features(spark, folder):

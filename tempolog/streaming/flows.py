@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tempolog.functions.scalars import clip, log_gap, quartile_us, robust_score, seconds
 from tempolog.schema import GAP_EPSILON, HISTORY
-from tempolog.session import shared_folder
+from tempolog.plans.joins import match_all
+from tempolog.session import durable, shared_folder
 
 DELAY = "1 hour"
 FILES_PER_TRIGGER = 1000
@@ -31,6 +32,10 @@ def read_events(
     # Written as a pattern, as the reader takes a plain path for a folder.
     pattern = f"{path[:-1]}[{path[-1]}]"
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+    return _as_events(raw, uid, ts, op, tie)
+
+
+def _as_events(raw: DataFrame, uid: str = "user_id", ts: str = "ts", op: str = "event_type", tie: str = "event_id") -> DataFrame:
     time = F.col(ts).cast("timestamp")
     return raw.select(F.col(uid).cast("string").alias("uid"), time.alias("ts"), F.unix_micros(time).alias("ts_us"),
                       F.col(op).alias("op"), tie)
@@ -129,10 +134,30 @@ def to_table(spark: SparkSession, stream: DataFrame, name: str, folder: str | No
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
-def sessions_to_table(spark, schema, path, threshold_seconds, folder=None) -> DataFrame:
+def sessions_to_table(spark, schema, path, threshold_seconds, folder=None, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     # Events of a session are merged where they are read, so a busy user sends sessions, not events, over the network.
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    return to_table(spark, stream_sessions(read_events(spark, schema, path), threshold_seconds), "sessions", folder)
+    return to_table(spark, stream_sessions(read_events(spark, schema, path, files_per_trigger), threshold_seconds), "sessions", folder)
+
+
+def sessions_so_far(spark, schema, path, threshold_seconds, folder=None, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """All sessions of the events that have arrived, with ``is_final``: whether the stream has closed them.
+
+    Sessions still open at the watermark are added. A user some of whose events came too late for the stream (files
+    out of order) is noticed by the number of events in closed sessions; that user's sessions are made again from
+    the events, so that the order of arrival never changes the table.
+    """
+    closed = sessions_to_table(spark, schema, path, threshold_seconds, folder, files_per_trigger)
+    events = _as_events(spark.read.schema(schema).parquet(path))
+    counted = closed.groupBy("uid").agg(F.max("end_us").alias("_last"), F.sum("n_events").alias("_n"))
+    covered = match_all(events.select("uid", "ts_us"), counted, ["uid"], "inner").groupBy("uid", "_last", "_n").agg(
+        F.count(F.when(F.col("ts_us") <= F.col("_last"), 1)).alias("_all"))
+    known = durable(covered.select("uid", "_last", (F.col("_n") != F.col("_all")).alias("_short")))
+    again = match_all(events, known, ["uid"], "left").where("_last is null or _short or ts_us > _last").drop("_last", "_short")
+    made = match_all(stream_sessions(again, threshold_seconds), known, ["uid"], "left")
+    made = made.select("uid", "n_events", "start_us", "end_us", F.coalesce(F.col("end_us") <= F.col("_last"), F.lit(False)).alias("is_final"))
+    kept = match_all(closed, known.where("not _short").select("uid"), ["uid"], "left_semi")
+    return kept.select("uid", "n_events", "start_us", "end_us", F.lit(True).alias("is_final")).unionByName(made)
 
 
 def features_to_table(spark, schema, path, stats, folder=None) -> DataFrame:

@@ -64,14 +64,14 @@ def test_control_metrics(spark, shape):
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string"
 
 
-def event_files(spark, folder):
-    """Three files, each later than the one before, so that state has to live across triggers."""
+def event_files(spark, folder, parts=(0, 1, 2)):
+    """Three files, each later than the one before if read in order, so that state has to live across triggers."""
     rnd = np.random.default_rng(8)
     at, rows = 0, []
     for i in range(90):
         at += int(rnd.integers(1, 900))
         rows.append((i, at, int(rnd.integers(0, 4)), str(rnd.choice(["view", "click", "buy"]))))
-    for part in range(3):
+    for part in parts:
         df = spark.createDataFrame(rows[part * 30:part * 30 + 30], "event_id bigint, s bigint, user_id bigint, event_type string")
         df = df.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type")
         df.coalesce(1).write.mode("append").parquet(folder)
@@ -82,7 +82,7 @@ def test_streams_equal_batch(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "events")
     batch = event_files(spark, folder)
     reader = flows.read_events
-    monkeypatch.setattr(flows, "read_events", lambda s, schema, path: reader(s, schema, path, files_per_trigger=1))
+    monkeypatch.setattr(flows, "read_events", lambda s, schema, path, n=1: reader(s, schema, path, files_per_trigger=1))
     ev = batch.select(F.col("event_id"), F.col("user_id").cast("string").alias("uid"), F.unix_micros("ts").alias("ts_us"), F.col("event_type").alias("op"))
     line = gaps.with_user_gap(gaps.user_timeline(ev, ["event_id"]))
 
@@ -104,3 +104,15 @@ def test_streams_equal_batch(spark, tmp_path, monkeypatch):
     pairs = line.previous(src="op").rows.filter("src is not null").groupBy("src", F.col("op").alias("dst")).count()
     counts = flows.transitions_to_table(spark, batch.schema, folder)
     assert {(r.src, r.dst, r.n) for r in counts.collect()} == {tuple(r) for r in pairs.collect()}
+
+
+@pytest.mark.parametrize("parts", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_sessions_so_far_do_not_depend_on_the_order_of_files(spark, tmp_path, parts):
+    folder = str(tmp_path / "events")
+    batch = event_files(spark, folder, parts)
+    ev = batch.select("event_id", F.col("user_id").cast("string").alias("uid"), F.unix_micros("ts").alias("ts_us"), F.col("event_type").alias("op"))
+    line = gaps.with_user_gap(gaps.user_timeline(ev, ["event_id"]))
+    want = {(r.uid, r.n_events, r.start_us, r.end_us) for r in gaps.session_rollup(gaps.assign_sessions(line, 1500).rows).collect()}
+    got = flows.sessions_so_far(spark, batch.schema, folder, 1500, files_per_trigger=1).collect()
+    assert len(got) == len(want) and {(r.uid, r.n_events, r.start_us, r.end_us) for r in got} == want
+    assert {r.is_final for r in got} == {True, False}
