@@ -180,12 +180,14 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
         F.min("doc_id").alias("first"), F.min_by("marks", "doc_id").alias("marks"))
     marked = firsts.select(F.col("first").alias("doc_id"), F.explode("marks").alias("mark"))
     shared = marked.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    wanted = marked.join(shared.select("mark", "first"), "mark").groupBy("doc_id").agg(
+    shared = durable(shared.select("mark", "first"))
+    wanted = marked.join(shared, "mark").groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("first") < F.col("doc_id"), F.col("mark"))).alias("later"),
         F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.col("mark"))).alias("early"))
     held = durable(_texts(docs).join(wanted, "doc_id").dropDuplicates(["doc_id", "text_key"]))
     counted = _windows(held, window, False).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    recur = counted.where("first < last").select("a", "b", "first")
+    # Stored, so that the joins read both sides from exchanges, whose large partitions Spark can split.
+    recur = durable(counted.where("first < last").select("a", "b", "first"))
     places = _windows(held, window, True).join(recur, ["a", "b"]).where("first < doc_id")
     places = places.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
     cuts = durable(_apply(held.select("doc_id", "text_key", "text").join(places, ["doc_id", "text_key"]), window))
