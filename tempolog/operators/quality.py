@@ -38,6 +38,14 @@ def _violations(df: DataFrame, key: str, checks: Sequence[tuple[str, str, Column
     )
 
 
+Rules = list[tuple[str, str, Column]]
+
+
+def check(table: DataFrame, key: str, *rules: Rules) -> DataFrame:
+    """The violations of any number of rule lists (``*_rules`` below) in one scan of the table."""
+    return _violations(table, key, [r for some in rules for r in some])
+
+
 def _empty(column: str) -> Column:
     return F.col(column).isNull() | (F.col(column).cast("string") == "")
 
@@ -74,17 +82,25 @@ def normalize_contract(mapped: DataFrame) -> DataFrame:
     return mapped.withColumn("timestamp_utc", parse_time("timestamp_utc"))
 
 
-def check_required(mapped: DataFrame, key: str) -> DataFrame:
+def required_rules() -> Rules:
     """Empty required values; an absent ``ip`` is accepted on input."""
-    return _violations(mapped, key, [("MISSING_REQUIRED_VALUE", c, _empty(c)) for c in CONTRACT_COLUMNS if c != "ip"])
+    return [("MISSING_REQUIRED_VALUE", c, _empty(c)) for c in CONTRACT_COLUMNS if c != "ip"]
 
 
-def check_timestamps(mapped: DataFrame, key: str, column: str = "timestamp_utc") -> DataFrame:
+def check_required(mapped: DataFrame, key: str) -> DataFrame:
+    return check(mapped, key, required_rules())
+
+
+def timestamp_rules(column: str = "timestamp_utc") -> Rules:
     """Times that are neither an epoch nor ISO 8601 with a zone."""
-    return _violations(mapped, key, [("INVALID_TIMESTAMP", column, ~_empty(column) & parse_time(column).isNull())])
+    return [("INVALID_TIMESTAMP", column, ~_empty(column) & parse_time(column).isNull())]
 
 
-def check_contract_rows(table: DataFrame, key: str, require_ip: bool = True, corrupt: str | None = None) -> DataFrame:
+def check_timestamps(mapped: DataFrame, key: str, column: str = "timestamp_utc") -> DataFrame:
+    return check(mapped, key, timestamp_rules(column))
+
+
+def contract_row_rules(require_ip: bool = True, corrupt: str | None = None) -> Rules:
     """Full check of a contract table held as text: nothing empty, time is ISO in UTC, no surplus cells.
 
     ``corrupt`` names the corrupt-record column of a permissive CSV read.
@@ -98,17 +114,25 @@ def check_contract_rows(table: DataFrame, key: str, require_ip: bool = True, cor
     ]
     if corrupt is not None:
         checks.append(("EXTRA_OR_MISSING_CELLS", corrupt, F.col(corrupt).isNotNull()))
-    return _violations(table, key, checks)
+    return checks
 
 
-def check_utc(table: DataFrame, key: str, column: str = "timestamp_utc") -> DataFrame:
+def check_contract_rows(table: DataFrame, key: str, require_ip: bool = True, corrupt: str | None = None) -> DataFrame:
+    return check(table, key, contract_row_rules(require_ip, corrupt))
+
+
+def utc_rules(column: str = "timestamp_utc") -> Rules:
     """Times without a zone or with an offset other than zero (epochs are not accepted here)."""
     t = F.col(column)
-    return _violations(table, key, [
+    return [
         ("NOT_ISO8601", column, t.isNull() | ~is_iso(F.trim(t))),
         ("NAIVE_TIME", column, is_iso(F.trim(t)) & ~has_zone(F.trim(t))),
         ("NOT_UTC", column, has_zone(F.trim(t)) & ~is_utc(F.trim(t))),
-    ])
+    ]
+
+
+def check_utc(table: DataFrame, key: str, column: str = "timestamp_utc") -> DataFrame:
+    return check(table, key, utc_rules(column))
 
 
 # --- values -------------------------------------------------------------------------------------------------------
@@ -117,8 +141,12 @@ def is_unknown_op(op: Column) -> Column:
     return F.lower(F.trim(op)).isin(*UNKNOWN_OPS)
 
 
+def known_op_rules(column: str = "op") -> Rules:
+    return [("UNKNOWN_OP", column, is_unknown_op(F.col(column)))]
+
+
 def check_known_ops(table: DataFrame, key: str, column: str = "op") -> DataFrame:
-    return _violations(table, key, [("UNKNOWN_OP", column, is_unknown_op(F.col(column)))])
+    return check(table, key, known_op_rules(column))
 
 
 def _number(column: str) -> Column:
@@ -129,18 +157,22 @@ def _infinite(x: Column) -> Column:
     return F.abs(x) == float("inf")
 
 
-def check_positive_delta(table: DataFrame, key: str, column: str) -> DataFrame:
+def positive_delta_rules(column: str) -> Rules:
     """Waiting times that are not numbers, not finite, or not above zero."""
     x = _number(column)
     finite = x.isNotNull() & ~F.isnan(x) & ~_infinite(x)
-    return _violations(table, key, [
+    return [
         ("DELTA_NOT_NUMERIC", column, x.isNull()),
         ("DELTA_NOT_FINITE", column, x.isNotNull() & ~finite),
         ("DELTA_NOT_POSITIVE", column, finite & (x <= 0)),
-    ])
+    ]
 
 
-def check_finite_signal(table: DataFrame, key: str, columns: Sequence[str] = ("S", "s_time", "flag_dt")) -> DataFrame:
+def check_positive_delta(table: DataFrame, key: str, column: str) -> DataFrame:
+    return check(table, key, positive_delta_rules(column))
+
+
+def finite_signal_rules(columns: Sequence[str] = ("S", "s_time", "flag_dt")) -> Rules:
     checks = []
     for c in columns:
         x, text = _number(c), F.trim(F.col(c).cast("string"))
@@ -151,7 +183,11 @@ def check_finite_signal(table: DataFrame, key: str, columns: Sequence[str] = ("S
             ("SIGNAL_NAN", c, F.isnan(x)),
             ("SIGNAL_INFINITE", c, _infinite(x)),
         ]
-    return _violations(table, key, checks)
+    return checks
+
+
+def check_finite_signal(table: DataFrame, key: str, columns: Sequence[str] = ("S", "s_time", "flag_dt")) -> DataFrame:
+    return check(table, key, finite_signal_rules(columns))
 
 
 def check_increasing_time(table: DataFrame, keys: Sequence[str], order: str, ts_us: str = "ts_us") -> DataFrame:
@@ -160,7 +196,7 @@ def check_increasing_time(table: DataFrame, keys: Sequence[str], order: str, ts_
     return _violations(line.rows, order, [("TIME_NOT_INCREASING", ts_us, F.col("_before").isNotNull() & (F.col(ts_us) <= F.col("_before")))])
 
 
-def check_known_vocab(table: DataFrame, key: str, vocab: DataFrame, column: str = "op") -> DataFrame:
-    """Operations outside the (stored) fitted vocabulary."""
+def check_known_vocab(table: DataFrame, key: str, vocab: DataFrame, column: str = "op", *rules: Rules) -> DataFrame:
+    """Operations outside the (stored) fitted vocabulary; further rule lists are checked in the same scan."""
     known = vocab.select(F.col("op").alias(column)).distinct().withColumn("_known", F.lit(True))
-    return _violations(lookup(table, known, [column]), key, [("UNKNOWN_CATEGORY", column, F.col("_known").isNull())])
+    return check(lookup(table, known, [column]), key, [("UNKNOWN_CATEGORY", column, F.col("_known").isNull())], *rules)

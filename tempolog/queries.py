@@ -355,13 +355,9 @@ def normalize_timestamps(spark, folder):
 
 
 def contract_violations(spark, folder):
-    mapped = mapped_log(spark, folder)
-    checks = [quality.check_required(mapped, "event_id"), quality.check_timestamps(mapped, "event_id"),
-              quality.check_contract_rows(mapped, "event_id", require_ip=False)]
-    out = checks[0]
-    for more in checks[1:]:
-        out = out.unionByName(more)
-    return out
+    """All rules for contract tables in one scan."""
+    return quality.check(mapped_log(spark, folder), "event_id", quality.required_rules(), quality.timestamp_rules(),
+                         quality.contract_row_rules(require_ip=False))
 
 
 def value_violations(spark, folder):
@@ -376,11 +372,8 @@ def value_violations(spark, folder):
                         F.when(F.col("event_id") % 19 == 0, F.lit(0)).otherwise(micros(df, "ts")).alias("ts_us"))
     vocab = durable(df.select(F.col("event_type").alias("op")).filter("op <> 'error'").distinct())
     checks = [
-        quality.check_utc(mapped, "event_id"),
-        quality.check_known_ops(mapped, "event_id", "op_category"),
-        quality.check_known_vocab(mapped, "event_id", vocab, "op_category"),
-        quality.check_positive_delta(numbers, "event_id", "delta_t"),
-        quality.check_finite_signal(numbers, "event_id", ["delta_t"]),
+        quality.check_known_vocab(mapped, "event_id", vocab, "op_category", quality.utc_rules(), quality.known_op_rules("op_category")),
+        quality.check(numbers, "event_id", quality.positive_delta_rules("delta_t"), quality.finite_signal_rules(["delta_t"])),
         quality.check_increasing_time(arrival, ["uid"], "event_id"),
     ]
     out = checks[0]
