@@ -42,8 +42,8 @@ class Encoder(Splitter):
     def __init__(self, path: str):
         super().__init__(path)
         self.model = self.tokenizer.model
-        self.pieces = Cache(self._piece, CACHE_ENTRIES // 2)
-        self.chunks = Cache(self._ids, 2 * CACHE_ENTRIES)
+        self.pieces = Cache(self._piece, CACHE_ENTRIES)
+        self.chunks = Cache(self._ids, 3 * CACHE_ENTRIES)
 
     def _ids(self, chunk: str) -> bytes:
         parts = self.split(chunk)
