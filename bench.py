@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tempolog.operators import features, gaps  # noqa: E402
 from tempolog.queries import QUERIES, read  # noqa: E402
-from tempolog.session import build_session  # noqa: E402
+from tempolog.session import build_session, scratch  # noqa: E402
 from tempolog.sources.events import as_events  # noqa: E402
 
 HEADLINES = [
@@ -40,7 +40,8 @@ def main() -> None:
     seconds = {}
     for name, query in runs.items():
         start = time.perf_counter()
-        query(spark, folder).write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            query(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Anything else (memory, executors, shuffle service) belongs to the cluster.
@@ -40,6 +44,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_runs: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that :func:`durable` stores inside the block go to a folder of their own, which is removed at its end.
+
+    Write or collect results inside the block: they are read from these tables.
+    """
+    folder = f"{shared_folder(spark)}/tables/run-{uuid.uuid4().hex}"
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there from now on.
 
@@ -47,6 +71,7 @@ def durable(df: DataFrame) -> DataFrame:
     sampled), where several passes would otherwise repeat a shuffle, and for the small tables of a model.
     Later passes read only the columns they need, and a lost executor costs nothing but its running tasks.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    folder = _runs[-1] if _runs else f"{shared_folder(df.sparkSession)}/tables"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

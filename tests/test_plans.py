@@ -1,5 +1,6 @@
 """The building blocks: the same numbers with and without slices, and as a plain loop would give."""
 
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from tempolog.operators import behavior
 from tempolog.plans import joins
 from tempolog.plans.quantiles import quantiles
 from tempolog.plans.timeline import timeline
+from tempolog.session import durable, scratch
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +141,10 @@ def test_a_vocabulary_has_no_limit(spark):
     got = behavior.encode(events, vocab)
     assert got.filter("op_index = cast(substring(op, 3) as int)").count() == 12_000
     assert behavior.decode(got.select("op_index"), vocab).filter("op is not null").count() == 12_000
+
+
+def test_scratch_tables_are_removed(spark):
+    with scratch(spark) as folder:
+        assert durable(spark.range(5)).count() == 5 and len(os.listdir(folder.removeprefix("file:"))) == 1
+    assert not os.path.exists(folder.removeprefix("file:"))
+    assert durable(spark.range(3)).count() == 3
