@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempolog.llm.common import CACHE_ENTRIES, Cache, durable, map_batches, map_partitions, ragged, text_or_empty
+from tempolog.llm.common import Cache, durable, map_batches, map_partitions, ragged, text_or_empty
 from tempolog.llm.token_count import Splitter
 
 SEQUENCE = 4096
@@ -28,6 +28,8 @@ LONG_SENTENCE, HARD_STEP = 256, 64
 BLOCK_TOKENS = 1 << 18
 TASK_TOKENS = 1 << 22
 MOST_TASKS = 100_000
+# Chunks of text whose ids a Python worker keeps.
+CHUNKS = 600_000
 _SENTENCE_ENDS = ".!?…。！？"
 _CRC = 0xEDB88320
 
@@ -39,11 +41,11 @@ class Encoder(Splitter):
     pieces of each chunk that is not in the cache; other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int):
         super().__init__(path)
         self.model = self.tokenizer.model
-        self.pieces = Cache(self._piece, CACHE_ENTRIES)
-        self.chunks = Cache(self._ids, 3 * CACHE_ENTRIES)
+        self.pieces = Cache(self._piece, entries // 3)
+        self.chunks = Cache(self._ids, entries)
 
     def _ids(self, chunk: str) -> bytes:
         parts = self.split(chunk)
@@ -70,9 +72,9 @@ class Encoder(Splitter):
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int) -> Encoder:
     """One encoder per Python worker, so that its cache outlives a task."""
-    return Encoder(path)
+    return Encoder(path, entries)
 
 
 def boundaries(sentence_ends: np.ndarray, tokens: int, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +91,11 @@ def boundaries(sentence_ends: np.ndarray, tokens: int, size: int = SEQUENCE) ->
     return both, ~np.isin(both, ends)
 
 
-def outline(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQUENCE) -> DataFrame:
+def outline(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQUENCE, entries: int = CHUNKS) -> DataFrame:
     """Per document: number of tokens with the closing ``end_id``, places to cut, and the CRC-32 of the ids before each."""
 
     def start():
-        encode = encoder(path)
+        encode = encoder(path, entries)
         closing = np.array([end_id], "<u4").tobytes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,7 +256,7 @@ class _Packer:
         return out
 
 
-def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID, entries: int = CHUNKS) -> DataFrame:
     """All documents in sequences of at most ``size`` tokens, as pieces in the order of doc_id.
 
     ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``: a piece is ``length`` ids of its document
@@ -266,9 +268,10 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
     million tokens, and only its last sequence is cut short by the range. sequence_ids ascend in the order of documents, with
     gaps between tasks. Texts are encoded once: token counts, cuts and checksums at the cuts are written to the shared
     folder, and the ids themselves are never moved. A null text is empty and has the closing id alone. Repeated rows
-    are packed as often as they occur; further columns are ignored.
+    are packed as often as they occur; further columns are ignored. ``entries`` bounds the cache of a Python worker (about
+    200 bytes each), not the result.
     """
-    stored = durable(outline(docs, path, end_id, size))
+    stored = durable(outline(docs, path, end_id, size, entries))
     total = stored.agg(F.sum("tokens")).first()[0] or 0
     tasks = max(1, min(MOST_TASKS, total // TASK_TOKENS))
     ordered = stored.repartitionByRange(int(tasks), F.asc_nulls_first("doc_id"), "tie")
