@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -19,35 +20,63 @@ PLACES = 1 << 18
 FIT_ROWS = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
+# Longer runs without white space are taken by so many neighbouring kinds of characters.
+LONG, KINDS = 64, 3
 _SAME = 1
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def form(word: bytes) -> str:
+class _Kinds(dict):
+    """The kind of each character, for ``str.translate``."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "U" if c.isupper() else "l" if c.isalpha() else "d" if c.isdigit() else c
+        return self[code]
+
+
+_KINDS, _REPEATS = _Kinds(), re.compile(r"([Uld])\1+|([^Uld])\2{3,}", re.DOTALL)
+
+
+def form(word: bytes | str) -> str:
     """The form of a word: runs of upper case, lower case and digits by one letter each, other signs up to three times."""
-    out = ""
-    for c in word.decode(errors="replace")[:64]:
-        kind = "U" if c.isupper() else "l" if c.isalpha() else "d" if c.isdigit() else c
-        if not (out.endswith(kind) if kind in "Uld" else out.endswith(3 * kind)):
-            out += kind
-    return out
+    text = word.decode(errors="replace") if isinstance(word, bytes) else word
+    return _REPEATS.sub(r"\1\2\2\2", text.translate(_KINDS))
 
 
 class Features:
     """Indices of the n-grams (one to three words) of word forms in a text.
 
     A word equal to the one before it has a form of its own. Words themselves are no features: what they mean is
-    not to decide about quality.
+    not to decide about quality. A run of over ``LONG`` characters (text without spaces, encoded data) counts as a
+    sequence of words, one for each ``KINDS`` neighbouring kinds of its whole form.
     """
 
     def __init__(self):
         self.words = Cache(lambda w: xxhash.xxh64_intdigest(w) & ~0xFFFF | max(2, zlib.crc32(form(w).encode()) & 0xFFFF))
 
+    def values(self, words: list[bytes]) -> np.ndarray:
+        """For each word its hash, with the form in the last 16 bits."""
+        if max(map(len, words)) <= LONG:
+            return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        parts = []
+        for word in words:
+            text = word.decode(errors="replace") if len(word) > LONG else ""
+            kinds = form(text) if len(text) > LONG else ""
+            if len(kinds) > KINDS:
+                pieces = [kinds[i:i + KINDS].encode() for i in range(len(kinds) - KINDS + 1)]
+                parts.append(np.fromiter(map(self.words.__getitem__, pieces), np.uint64, len(pieces)))
+            elif len(text) > LONG:  # not kept in the cache, which would hold the run
+                parts.append(np.array([self.words.compute(word)], np.uint64))
+            else:
+                parts.append(np.array([self.words[word]], np.uint64))
+        return np.concatenate(parts)
+
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.split()
         if not words:
             return np.zeros(0, np.int32)
-        values = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        values = self.values(words)
         forms = values & np.uint64(0xFFFF)
         forms[1:][values[1:] == values[:-1]] = _SAME
         forms = np.r_[np.uint64(0), forms, np.uint64(0)]

@@ -271,6 +271,17 @@ def test_quality_is_learnt_and_held_out(spark, nothing):
     assert quality_classifier.quality_scores(nothing, labels).count() == 0
 
 
+def test_the_whole_of_a_run_without_spaces_counts():
+    features, draw = quality_classifier.Features(), random.Random(6)
+    plain = "".join(draw.choice(["abc", "Def", "12", "+", "//"]) for _ in range(400))
+    wide = "文字列、" * 40
+    for run, tail in ((plain, "?!x?!X"), (wide, "。1。A"), ("x" * 50_000, "!")):
+        before, after = features(run.encode()), features((run + tail).encode())
+        assert len(after) and before.tolist() != after.tolist()
+    assert quality_classifier.form(b"ABcd12!!!!!x" + b"y" * 90 + b"Z??") == "Uld!!!lU??"
+    assert features(("x" * 64).encode()).tolist() == features(("x" * 65).encode()).tolist()
+
+
 def test_dual_descent_reaches_the_hinge_optimum():
     draw = np.random.default_rng(0)
     x = draw.standard_normal((60, 3))
