@@ -378,6 +378,36 @@ def test_leaked_items_are_found(spark, nothing):
     assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_many_paraphrases_are_found_whatever_their_cosine(spark):
+    draw = random.Random(12)
+    word = lambda: f"v{draw.randrange(4000)}"
+    item, rows = [], []
+    for k in range(400):
+        first, answer = [word() for _ in range(30)], " ".join(word() for _ in range(8))
+        item.append((k, " ".join(first) + ". " + answer + "."))
+        said = " ".join(w if i % 3 == 0 else " ".join(word() for _ in range(3)) for i, w in enumerate(first)) + " " + answer
+        around = [" ".join(word() for _ in range(draw.randrange(10, 40))) for _ in range(2)]
+        rows.append((k, f"{around[0]} {said} {around[1]}"))
+    rows += [(1000 + k, f"alpha{k} beta") for k in range(4000)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(item, "item_id long, text string")
+    found = decontaminate.contaminated(docs, benchmark).collect()
+    # Brute force: the same rule at every passage of each document, for the item that it was made from.
+    items = decontaminate.Items.of(item)
+    texts = [items.columns_of(decontaminate.fold(t)) for _, t in rows]
+    items.weigh(np.sum([np.bincount(np.unique(t), minlength=len(items.column) + 1) for t in texts], axis=0)[:-1], len(texts))
+    share = lambda own, text: items.weight[own[np.isin(own, text)]].sum() / items.weight[own].sum()
+    want = set()
+    for k, text in enumerate(texts[:400]):
+        own, answer = items.words[k], items.answers[k]
+        for at in range(0, len(text), decontaminate.STRIDE):
+            near = text[max(0, at - len(own)):at + decontaminate.PASSAGE + len(own)]
+            common = decontaminate.common_weight(own, near, items.weight) / items.weight[own].sum()
+            if common >= decontaminate.SETTLED or common >= decontaminate.PARAPHRASE and share(answer, near) >= decontaminate.ANSWER:
+                want.add(k)
+    assert {r.doc_id for r in found if r.doc_id == r.item_id} == want and len(want) > 200
+    assert min(r.cosine for r in found) < 0.4  # these were left out
+
+
 def test_random_projection_finds_the_leading_space():
     draw = np.random.default_rng(2)
     rows = draw.integers(0, 40, (500, decontaminate.PASSAGE))
