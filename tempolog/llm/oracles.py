@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tempolog.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES, words_of
+from tempolog.llm.merkle import FANOUT, TAMPERED
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -36,7 +37,65 @@ FROM w LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (
 """
 
 
+# CRC-32 of a blob column as an unsigned number: its table by eight shifts of each byte, then one step per byte.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
+_CRC = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length({0})), "
+        "lambda i: CAST('0x' || substr(hex({0}), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])))")
+
+
+def _merkle(levels: int = 8) -> str:
+    """Trees of at most ``FANOUT ** levels`` rows a source, and as many sources."""
+    field = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    ahead = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    steps = []
+    for tree in ("s", "t"):
+        for k in range(levels):
+            steps.append(f"""{tree}{k + 1} AS (
+  SELECT tree, idx // {FANOUT} AS idx, CAST(ceil(any_value(n) / {FANOUT}) AS BIGINT) AS n,
+         CASE WHEN any_value(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h FROM {tree}{k} GROUP BY tree, idx // {FANOUT}),
+{tree}p{k} AS (
+  SELECT a.tree, a.idx, any_value(a.n) > 1 AS real, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {tree}{k} a JOIN {tree}{k} b ON a.tree = b.tree AND a.idx // {FANOUT} = b.idx // {FANOUT} GROUP BY a.tree, a.idx)""")
+        if tree == "s":
+            steps.append(f"""t0 AS (
+  SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, h, tree AS source FROM s{levels})""")
+    joins, proof = [], []
+    for tree, place in (("s", "p.idx"), ("t", "t0.idx")):
+        key = "p.tree" if tree == "s" else "0"
+        for k in range(levels):
+            x = f"{tree}x{k}"
+            joins.append(f"JOIN {tree}p{k} {x} ON {x}.tree = {key} AND {x}.idx = {place} // {FANOUT ** k}")
+            proof.append(f"CASE WHEN {x}.real THEN {x}.l || {x}.r ELSE '' END")
+    hashes, before = [], "f"
+    for i, (tree, k) in enumerate((t, k) for t in "st" for k in range(levels)):
+        x = f"{tree}x{k}"
+        hashes.append(f"CASE WHEN {x}_real THEN sha256({x}_l || {before} || {x}_r) ELSE {before} END AS f{i}")
+        before = f"f{i}"
+    fields = ", ".join(f"{t}x{k}.real AS {t}x{k}_real, {t}x{k}.l AS {t}x{k}_l, {t}x{k}.r AS {t}x{k}_r" for t in "st" for k in range(levels))
+    chain = ",\n".join(f"c{i + 1} AS (SELECT *, {h} FROM c{i})" for i, h in enumerate(hashes))
+    return f"""
+WITH {_CRC_TABLE},
+d AS (
+  SELECT coalesce('+' || source, '') AS tree, doc_id, sha256({ahead} || {field.format('text')}) AS leaf,
+         CASE WHEN {_CRC.format('CAST(CAST(doc_id AS VARCHAR) AS BLOB)')} % {TAMPERED} = 0
+              THEN sha256({ahead} || {field.format(_LOWER.format('text'))}) END AS changed FROM documents, crc_table),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+s0 AS (SELECT tree, idx, n, leaf AS h FROM p),
+{",\n".join(steps)},
+c0 AS (
+  SELECT p.doc_id, p.leaf, t0.h AS subroot, t{levels}.h AS root, sha256({" || ".join(proof)}) AS proof_sha256, coalesce(p.changed, p.leaf) AS f, {fields}
+  FROM p JOIN t0 ON t0.source = p.tree CROSS JOIN t{levels} {" ".join(joins)}),
+{chain}
+SELECT doc_id, leaf, subroot, root, proof_sha256, {before} AS folded_root, {before} = root AS verified FROM c{len(hashes)}
+"""
+
+
 ORACLES = {
+    "op11_merkle_manifest": _merkle(),
     "op1_license_scan": _license_scan(),
     "op5_substring_dedup": r"""
 WITH d AS (

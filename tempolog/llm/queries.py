@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import decontaminate, html_extract, license_scan, packing, quality_classifier, simhash, substring, token_count, topk, warc
+from tempolog.llm import decontaminate, html_extract, license_scan, merkle, packing, quality_classifier, simhash, substring, token_count, topk, warc
 
 TOKEN_LIMIT = 2048
 
@@ -60,6 +60,10 @@ def op10_benchmark_decontamination(spark, folder):
     return found.drop("text_key")
 
 
+def op11_merkle_manifest(spark, folder):
+    return merkle.manifest(read_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_exact_top_k, op5_substring_dedup, op6_quality_classifier, op7_warc, op8_html_extraction, op9_packing,
-    op10_benchmark_decontamination)}
+    op10_benchmark_decontamination, op11_merkle_manifest)}
