@@ -37,11 +37,11 @@ FROM w LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (
 """
 
 
-# CRC-32 of a blob column as an unsigned number: its table by eight shifts of each byte, then one step per byte.
+# CRC-32 of a text as an unsigned number: its table by eight shifts of each byte, then one step per byte.
 _CRC_TABLE = """crc_table AS (
   SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
-_CRC = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length({0})), "
+_CRC = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen({0})), "
         "lambda i: CAST('0x' || substr(hex({0}), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])))")
 
 
@@ -80,7 +80,7 @@ def _merkle(levels: int = 8) -> str:
 WITH {_CRC_TABLE},
 d AS (
   SELECT coalesce('+' || source, '') AS tree, doc_id, sha256({ahead} || {field.format('text')}) AS leaf,
-         CASE WHEN {_CRC.format('CAST(CAST(doc_id AS VARCHAR) AS BLOB)')} % {TAMPERED} = 0
+         CASE WHEN {_CRC.format('CAST(doc_id AS VARCHAR)')} % {TAMPERED} = 0
               THEN sha256({ahead} || {field.format(_LOWER.format('text'))}) END AS changed FROM documents, crc_table),
 p AS (
   SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
@@ -94,7 +94,39 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, {before} AS folded_root, {befo
 """
 
 
+_SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+marked AS (
+  SELECT run, n, {_CRC.format("concat(doc_id, ':', run)")} AS h FROM runs, crc_table),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM marked)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (
+  SELECT word, n, i, left(word, i) AS ahead, substr(word, i + 2) AS behind FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.i = b.i AND a.ahead = b.ahead AND a.behind = b.behind AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.ahead || h.behind
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.ahead || h.behind),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+named AS (
+  SELECT word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+led(word, root, step) AS (
+  SELECT word, word, 0 FROM named
+  UNION ALL SELECT led.word, named.form, step + 1 FROM led JOIN named ON led.root = named.word WHERE named.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM led GROUP BY word)
+SELECT word, form, root, n, n_near, CAST(form_n AS DOUBLE) AS form_n FROM named JOIN ends USING (word)
+"""
+
+
 ORACLES = {
+    "op12_spelling_variants": _SPELLING,
     "op11_merkle_manifest": _merkle(),
     "op1_license_scan": _license_scan(),
     "op5_substring_dedup": r"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempolog.llm import decontaminate, html_extract, license_scan, merkle, packing, quality_classifier, simhash, substring, token_count, topk, warc
+from tempolog.llm import (
+    decontaminate, html_extract, language, license_scan, merkle, packing, quality_classifier, simhash, spelling, substring, token_count, topk, warc,
+)
 
 TOKEN_LIMIT = 2048
 
@@ -64,6 +66,14 @@ def op11_merkle_manifest(spark, folder):
     return merkle.manifest(read_table(spark, folder, "documents"))
 
 
+def op12_spelling_variants(spark, folder):
+    return spelling.variants(read_table(spark, folder, "documents"))
+
+
+def op13_language_id(spark, folder):
+    return language.predict(read_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_exact_top_k, op5_substring_dedup, op6_quality_classifier, op7_warc, op8_html_extraction, op9_packing,
-    op10_benchmark_decontamination, op11_merkle_manifest)}
+    op10_benchmark_decontamination, op11_merkle_manifest, op12_spelling_variants, op13_language_id)}
