@@ -236,7 +236,7 @@ def _by_length(words: list[bytes]) -> dict[int, np.ndarray]:
     return {int(x): np.flatnonzero(sizes == x) for x in np.unique(sizes)}
 
 
-def draw_cells(words: DataFrame) -> dict[int, Node]:
+def draw_cells(words: DataFrame, cell: int = CELL) -> dict[int, Node]:
     """A tree of cells for each length of words, from a bounded sample; lengths with few words have none (one cell)."""
     sizes = {r.size: r.words for r in words.groupBy(F.length("word").alias("size")).agg(F.count(F.lit(1)).alias("words")).where(F.col("size") <= DRAWN).collect()}
     total, grain = sum(sizes.values()), 1 << 30
@@ -245,12 +245,12 @@ def draw_cells(words: DataFrame) -> dict[int, Node]:
     drawn = words.where((F.length("word") <= DRAWN) & (F.pmod(F.xxhash64("word"), F.lit(grain)) < int(grain * min(1.0, 0.9 * SAMPLE / total))))
     sample = sorted(r.word.encode("latin-1") for r in drawn.select("word").limit(SAMPLE).collect())
     trees = {}
-    cell = max(CELL, total // CELLS + 1)
+    most = max(cell, total // CELLS + 1)
     for size, rows in (_by_length(sample) if sample else {}).items():
-        if sizes[size] > CELL:
+        if sizes[size] > most:
             points = counts(letters([sample[i] for i in rows]))
             whole = np.zeros(_SIZE, np.int64), np.full(_SIZE, size, np.int64)
-            trees[size] = grow(points, max(1, int(len(rows) * cell / sizes[size])), whole)
+            trees[size] = grow(points, max(1, int(len(rows) * most / sizes[size])), whole)
             for name, leaf in enumerate(leaves(trees[size])):
                 leaf.name, leaf.rows = name, np.zeros(0, np.int64)
     return trees
@@ -327,14 +327,14 @@ def _found(rows: DataFrame) -> DataFrame:
     return map_partitions(rows, run, "word string, n_near long, form_n long, form string")
 
 
-def near_words(words: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, cell: int = CELL) -> DataFrame:
     """``(word, n_near, form_n, form)`` of the words of ``words`` (``word``, ``n``) that have a near word.
 
     ``form`` is the near word of largest ``n``, the first in code-point order among equals.
     """
-    dealt = durable(_dealt(words, draw_cells(words)))
+    dealt = durable(_dealt(words, draw_cells(words, cell)))
     # A cell with more words than a task should hold is dealt over several; searches go to each of them.
-    share = F.greatest(F.col("size") / DRAWN, F.lit(1.0)) / CELL
+    share = F.greatest(F.col("size") / DRAWN, F.lit(1.0)) / cell
     sizes = dealt.where("kind = 0").groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) * F.first(share)).cast("int").alias("parts"))
     total = dealt.count()
     split = dealt.join(sizes, ["size", "cell"]).withColumn(
@@ -362,7 +362,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
-def variants(docs: DataFrame) -> DataFrame:
+def variants(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """``(word, form, root, n, n_near, form_n)`` for every word of ``docs``.
 
     Words are runs of letters (A-Z, a-z and the code points C0 to FF) with A-Z in lower case; where the CRC-32 of
@@ -375,7 +375,7 @@ def variants(docs: DataFrame) -> DataFrame:
     letters are not cut by a tree, only dealt over tasks by their hash.
     """
     words = durable(vocabulary(docs))
-    near = near_words(words)
+    near = near_words(words, cell)
     named = durable(words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         *[F.when(F.col("form_n") >= RATIO * F.col("n"), F.col(c)).alias(c) for c in ("form", "form_n")]))

@@ -1,0 +1,233 @@
+"""Merkle manifest, spelling variants and language identification against brute-force versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tempolog.llm import language, merkle, spelling
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, path int, word string, n int"
+
+
+def table(spark, rows):
+    """Rows of (doc_id, text, lang, source, n_chars), beside columns whose names the operators use themselves."""
+    return spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], DOCS)
+
+
+# --- manifest -----------------------------------------------------------------------------------------------------
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(row, folded=False):
+    i, text, lang, source, n = row
+    if folded and text is not None:
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    out = b""
+    for v in (i, source, lang, n, text):
+        v = None if v is None else str(v).encode()
+        out += b"-" if v is None else b"%d:" % len(v) + v
+    return hashlib.sha256(out).hexdigest()
+
+
+def tree(nodes):
+    """The last digest, and for each node the (left, right) siblings upwards."""
+    steps, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, i in enumerate(at):
+            run = nodes[i // 16 * 16:i // 16 * 16 + 16]
+            steps[k].append(("".join(run[:i % 16]), "".join(run[i % 16 + 1:])))
+            at[k] = i // 16
+        nodes = [digest("".join(nodes[a:a + 16])) for a in range(0, len(nodes), 16)]
+    return nodes[0], steps
+
+
+def manifest(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r[3], []).append(r)
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    own = {s: sorted(by[s], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for s in names}
+    trees = {s: tree([leaf(r) for r in own[s]]) for s in names}
+    root, top = tree([trees[s][0] for s in names])
+    for k, s in enumerate(names):
+        for r, steps in zip(own[s], trees[s][1]):
+            steps = steps + top[k]
+            h = leaf(r, r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0)
+            for left, right in steps:
+                h = digest(left + h + right)
+            yield r[0], leaf(r), trees[s][0], root, digest("".join(a + b for a, b in steps)), h, h == root
+
+
+def test_manifest_equals_brute_force(spark):
+    draw = random.Random(3)
+    rows = [(i, f"Text {i} É " + "Word " * draw.randrange(9), "en", "hot", i) for i in range(300)]
+    rows += [(1000 + i, draw.choice([None, "", "lower", "UPPER"]), None, draw.choice([None, "", "é", "z", "-"]), draw.choice([None, -3, 7])) for i in range(90)]
+    rows += [(2000 + i, "Own", "de", f"s{i}", 3) for i in range(25)]                         # trees of one leaf
+    rows += [(5, "Other", "en", "hot", 1)] * 20 + [(None, "No id", "en", "hot", None)] * 3 + [(None, None, None, None, None)]
+    rows += [(3000, "Long " * 200_000, "en", "seventeen", 1)] + [(3001 + i, "Seventeen", "en", "seventeen", 1) for i in range(16)]
+    draw.shuffle(rows)
+    got = merkle.manifest(table(spark, rows))
+    assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    found = sorted(map(tuple, got.collect()), key=repr)
+    assert found == sorted(manifest(rows), key=repr)
+    # Only rows whose text changes when folded fail.
+    texts = {r[0]: r[1] for r in rows}
+    assert {r[0] for r in found if not r[-1]} <= {i for i in texts if texts[i] and texts[i] != texts[i].lower()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_manifest_of_few_rows(spark, n):
+    rows = [(i, "A", "en", "s", 1) for i in range(n)]
+    assert sorted(map(tuple, merkle.manifest(table(spark, rows)).collect())) == sorted(manifest(rows) if rows else [])
+
+
+# --- spelling -----------------------------------------------------------------------------------------------------
+
+def edits(word):
+    return {word[:i] + "\0" + word[i + 1:] for i in range(len(word))}
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def spelled(rows):
+    n = {}
+    for i, text, *_ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] = n.get(run, 0) + 1
+    n = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+    form, count = {}, {}
+    for w in n:
+        others = [o for o in n if o != w and near(w, o)]
+        best = min(others, key=lambda o: (-n[o], o), default=None)
+        count[w], form[w] = len(others), best if best and n[best] >= 2 * n[w] else None
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        yield w, form[w], root, n[w], count[w], form[w] and n[form[w]]
+
+
+@pytest.mark.parametrize("cell", [spelling.CELL, 40])
+def test_variants_equal_brute_force(spark, cell):
+    draw = random.Random(5)
+    letters = "abcdeXéÉß÷"
+    base = ["".join(draw.choice(letters) for _ in range(draw.randrange(4, 9))) for _ in range(90)]
+    rows = []
+    for i in range(400):
+        words = []
+        for w in draw.choices(base, weights=[1 / (k + 1) for k in range(len(base))], k=40):
+            k = draw.randrange(len(w))
+            words.append(draw.choice([w, w, w, w[:k] + w[k + 1:], w[:k] + draw.choice(letters) + w[k:], w[:k] + draw.choice(letters) + w[k + 1:]]))
+        rows.append((i if i % 50 else None, draw.choice([" ", "_", "š", "1", "\n"]).join(words), None, None, None))
+    long = "".join(draw.choice("abc") for _ in range(3000))
+    rows += [(9, f"{long} {long[:70]}b{long[71:]} {long}c {long[1:]}", None, None, None)] * 4 + [(7, None, None, None, None), (8, "", None, None, None)]
+    want = sorted(spelled(rows), key=repr)
+    assert len(want) > 300 and any(r[2] != (r[1] or r[0]) for r in want)
+    got = spelling.variants(table(spark, rows), cell)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert spelling.variants(table(spark, [])).count() == 0
+
+
+def test_anagrams_share_a_leaf_and_are_told_apart():
+    """Words of equal letter counts cannot be parted by a tree; the order of letters decides."""
+    draw = random.Random(2)
+    words = sorted({"".join(draw.sample("abcdefg", 7)) for _ in range(600)})
+    others = sorted({w[:3] + "h" + w[4:] for w in words} | set(words))
+    cell = spelling.Cell([w.encode() for w in words], np.arange(len(words)))
+    assert cell.tree.rows is not None
+    pairs = set(zip(*(x.tolist() for x in cell.near([w.encode() for w in others]))))
+    assert pairs == {(i, j) for i, a in enumerate(others) for j, b in enumerate(words) if near(a, b)}
+
+
+def test_boxes_lose_no_neighbour():
+    draw = np.random.default_rng(1)
+    words = [bytes(x) for x in draw.integers(97, 103, (3000, 7)).astype(np.uint8)]
+    points = spelling.counts(spelling.letters(words))
+    for box in (None, (np.zeros(90, int), np.full(90, 7))):
+        tree = spelling.grow(points, 16, box)
+        assert sorted(np.concatenate([x.rows for x in spelling.leaves(tree)])) == list(range(3000))
+        query = spelling.counts(spelling.letters([w[1:] for w in words[:50]]))
+        reached = {(i, j) for leaf, rows in spelling.search(tree, query, 1, 0) for i in rows for j in leaf.rows}
+        apart = np.abs(points[None] - query[:, None]).sum(axis=2)
+        assert {tuple(x) for x in np.argwhere(apart == 1)} <= reached
+
+
+# --- languages ----------------------------------------------------------------------------------------------------
+
+STEMS = {"aa": "the of and ing tion ly er", "bb": "der und ein keit schen ung ö", "cc": "que les eau ment é ier ou"}
+
+
+def spoken(draw, lang, n):
+    parts = STEMS[lang].split()
+    return " ".join("".join(draw.choices(parts, k=draw.randrange(1, 4))) for _ in range(n))
+
+
+def language_rows():
+    draw = random.Random(4)
+    rows = []
+    for i in range(900):
+        lang = draw.choice(["aa", "aa", "aa", "bb", "cc"])
+        rows.append((i, spoken(draw, lang, draw.randrange(3, 60)), lang, "s", 1))
+    return draw, rows
+
+
+def test_held_out_languages(spark):
+    draw, rows = language_rows()
+    odd = [(5000, None, "aa", "s", 1), (5001, "", "bb", "s", 1), (5002, "12 34 __ !?", "cc", None, 1), (None, rows[0][1], None, None, None),
+           (5003, spoken(draw, "bb", 120_000), "bb", "s", 1), (5004, rows[3][1], None, "s", 1), (3, rows[3][1], rows[3][2], "s", 1)]
+    got = language.predict(table(spark, rows + odd), bound=600).collect()
+    assert len(got) == len(rows + odd)
+    found = {r.doc_id: r for r in got}
+    assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in rows if found[r[0]].held_out]
+    right = [found[r[0]].lang_pred == r[2] for r in held]
+    assert len(held) > 150 and sum(right) / len(right) > 0.97
+    assert all((r.lang_pred == "und") == (r.doc_id in (5000, 5001, 5002)) and 0 <= r.score <= 1 for r in got)
+    assert all(found[i].score == 0 and not found[i].accepted for i in (5000, 5001, 5002))
+    assert found[5003].lang_pred == "bb" and found[5004].lang_pred == rows[3][2] and found[None].lang_pred == rows[0][2]
+    accepted = [r for r in held if found[r[0]].accepted]
+    assert accepted and all(found[r[0]].lang_pred == r[2] for r in accepted) or sum(right) / len(right) > 0.99
+
+
+def test_held_out_rows_teach_nothing(spark):
+    _, rows = language_rows()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    changed = [(i, t, "zz" if held(i) else lang, s, n) for i, t, lang, s, n in rows]
+    a, b = (language.predict(table(spark, x), bound=300).collect() for x in (rows, changed))
+    assert sorted(a) == sorted(b)
+    assert {r.lang_pred for r in language.predict(table(spark, [(i, t, None, s, n) for i, t, _, s, n in rows])).collect()} == {"und"}
+    assert language.predict(table(spark, [])).count() == 0
+
+
+def test_subwords_stay_inside_words():
+    data = language.normal("Ab, cé_9")
+    assert data == " ab cé ".encode()
+    starts = [(i, k) for k in language.SUBWORDS for i in range(len(data) - k + 1)]
+    inside = [x for x in starts if b" " not in data[x[0] + 1:x[0] + x[1] - 1] and data[x[0]:x[0] + x[1]] != b" " and data[x[0]:x[0] + x[1]] != b"  "]
+    assert len(language.places(data)) == len(inside)
+    whole = language.tally("word " * 200_000)
+    assert whole[1].sum() == 200_000 * len(language.places(b" word "))
+
+
+def test_descent_is_that_of_the_softmax():
+    """One step on one row moves the margins as the gradient says."""
+    rows, labels = [(np.array([3, 9]), np.array([2.0, 2.0]))], np.array([1])
+    before, after = (language.train(rows, labels, ["x", "y"], rounds=r, rate=0.05) for r in (0, 1))
+    rise = after.margins(*rows[0]) - before.margins(*rows[0])
+    assert rise[1] > 0 > rise[0] and abs(rise.sum()) < 1e-9
