@@ -84,24 +84,26 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, block: i
     """``(query_id, rank, vec_id, score)``: for each row whose vec_id is divisible by ``query_step``, the ``k`` highest
     inner products with other rows, ties to the smaller vec_id.
 
-    Components are ``floor(256 * x)``. Equal vectors are one entry of the lists with their ``k + 1`` smallest ids, which
-    is all of them that any result can hold. Entries are dealt by a hash into blocks of about ``block``, queries into blocks of
+    Components are ``floor(256 * x)``. Equal vectors are one entry of the lists with their ``k + 1`` smallest different ids and how
+    often each is repeated (up to ``k``), which is all of them that any result can hold. Entries are dealt by a hash into blocks of about ``block``, queries into blocks of
     ``BLOCK_QUERIES``; each pair of blocks is one group, in which the threshold algorithm reads the entries' sorted lists.
-    Per query and block at most ``k`` entries remain, of which the best ``k`` are ranked. Vectors of different length are not
+    Per query and block as many entries remain as ``k`` others than the query's own need, of which the best ``k`` are ranked. Vectors of different length are not
     compared. Vectors null or with null or non-finite components take no part, nor do rows without vec_id; repeated
     ids are one row each. Scores beyond 64 bits are given as the nearest long. Further columns are ignored.
     """
     rows = durable(scaled(vectors, column))
     ship(vectors.sparkSession)
     first = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
-    entries = durable(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0]))
+    different = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    few = different.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
+    entries = few.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
+    entries = durable(entries.withColumn("first", F.col("ids")[0]["vec_id"]).withColumn("entry", F.monotonically_increasing_id()))
     queries = rows.where(F.col("vec_id") % query_step == 0)
     n_blocks = max(1, -(-entries.count() // block))
     q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     block_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.select(block_of("entry", n_blocks).alias("b"), F.size("v").alias("d"), each(q_blocks).alias("q"), "entry", "v")
+    left = entries.select(block_of("entry", n_blocks).alias("b"), F.size("v").alias("d"), each(q_blocks).alias("q"), "entry", "first", "v")
     right = queries.select(each(n_blocks).alias("b"), F.size("v").alias("d"), block_of("vec_id", q_blocks).alias("q"),
                            F.col("vec_id").alias("query_id"), F.col("v").alias("w")).distinct()
     keys = ["b", "d", "q"]
@@ -109,18 +111,24 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, block: i
     def search(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(entries) and len(queries):
-            lists = SortedLists(entries["entry"].to_numpy(), np.stack(entries["v"].to_numpy()).reshape(len(entries), -1))
+            entries = entries.sort_values(["first", "entry"], ignore_index=True)
+            names, firsts = entries["entry"].to_numpy(), entries["first"].to_numpy()
+            lists = SortedLists(np.arange(len(entries)), np.stack(entries["v"].to_numpy()).reshape(len(entries), -1))
+            own = queries["query_id"].value_counts()
             for query_id, w in zip(queries["query_id"], queries["w"]):
-                # An entry of several equal vectors may hold the query itself, so no entry is left out here.
-                ids, scores = lists.top(np.asarray(w), k + 1)
-                out += [(query_id, e, min(max(int(s), -_LONG), _LONG - 1)) for e, s in zip(ids, scores)]
-        frame = pd.DataFrame(out, columns=["query_id", "entry", "score"])
-        return frame.astype({"query_id": "int64", "entry": "int64", "score": "int64"})
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, entry long, score long")
+                # Entries may hold the query's own id: one for each different vector of it, so that many more are kept.
+                held = int(own[query_id])
+                places, scores = lists.top(np.asarray(w), k + held)
+                out += [(query_id, names[e], firsts[e], held, min(max(int(s), -_LONG), _LONG - 1)) for e, s in zip(places, scores)]
+        frame = pd.DataFrame(out, columns=["query_id", "entry", "first", "held", "score"])
+        return frame.astype("int64")
+
+    schema = "query_id long, entry long, first long, held long, score long"
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
-    kept = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1)
-    members = kept.join(entries.select("entry", "ids"), "entry").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
+    kept = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + F.col("held") * F.col("held"))
+    each_id = kept.join(entries.select("entry", "ids"), "entry").select("query_id", F.inline("ids"), "score")
+    members = each_id.select("query_id", F.explode(F.array_repeat("vec_id", F.col("times"))).alias("vec_id"), "score")
     ranked = members.where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
