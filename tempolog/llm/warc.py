@@ -17,6 +17,8 @@ from tempolog.session import shared_folder
 # Payloads below this size are always stored in full.
 LEAST_BYTES = 100
 # Bytes of a file that one task scans, and that it reads at once.
+# Tasks that read the ranges; beyond it a task reads several.
+MOST_TASKS = 50_000
 RANGE_BYTES = 32 << 20
 READ_BYTES = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
@@ -153,7 +155,9 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).where("size > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
-    ranges = files.select("path", "size", starts.alias("start")).repartition(F.col("path"), F.col("start"))
+    ranges = files.select("path", "size", starts.alias("start"))
+    # A counted number of tasks: the rows are few bytes, so adaptive execution would put all ranges into one.
+    ranges = ranges.repartition(max(1, min(MOST_TASKS, ranges.count())), "path", "start")
     names = ["record_id", "type", "url", "digest", "refers_to", "payload"]
 
     def start_task():
