@@ -135,6 +135,8 @@ def test_variants_equal_brute_force(spark, cell):
             words.append(draw.choice([w, w, w, w[:k] + w[k + 1:], w[:k] + draw.choice(letters) + w[k:], w[:k] + draw.choice(letters) + w[k + 1:]]))
         rows.append((i if i % 50 else None, draw.choice([" ", "_", "š", "1", "\n"]).join(words), None, None, None))
     long = "".join(draw.choice("abc") for _ in range(3000))
+    # Forms of forms: the last word leads to the first by way of the second.
+    rows += [(10 + i, f"{'lantern ' * 3}{'lanterns' if i < 8 else ''} {'lanternsx' if i < 3 else ''}", None, None, None) for i in range(12)]
     rows += [(9, f"{long} {long[:70]}b{long[71:]} {long}c {long[1:]}", None, None, None)] * 4 + [(7, None, None, None, None), (8, "", None, None, None)]
     want = sorted(spelled(rows), key=repr)
     assert len(want) > 300 and any(r[2] != (r[1] or r[0]) for r in want)

@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline  # noqa: E402
 
-from tempolog.llm import decontaminate, html_extract, packing, quality_classifier, simhash, topk, warc  # noqa: E402
+from tempolog.llm import decontaminate, html_extract, packing, quality_classifier, topk, warc  # noqa: E402
 from tempolog.llm.queries import tokenizer_path  # noqa: E402
 from tempolog.session import shared_folder  # noqa: E402
 
@@ -102,6 +102,15 @@ def test_template_text_is_left_out(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_every_range_is_a_task(spark):
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(spark.createDataFrame([(*r, "d", "t") for r in pages()], PAGE).repartition(2), path)
+    folder = path.removeprefix("file:")
+    ranges = sum(-(-os.path.getsize(f"{folder}/{f}") // 5000) for f in os.listdir(folder) if f.startswith("part-"))
+    read = warc.read_warc(spark, path, range_bytes=5000)
+    assert ranges > 20 and read.rdd.getNumPartitions() == ranges and read.count() == len(pages())
+
+
 # --- vectors ------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block, wide", [(8192, 1.0), (7, 1.0), (50, 2.0**20)])
@@ -123,6 +132,21 @@ def test_top_k_equals_all_pairs(spark, block, wide):
     assert topk.top_k(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 2])
+def test_top_k_of_repeated_rows(spark, block):
+    """Repeats of a row are candidates each; an id with several vectors is one query with all of them."""
+    rows = [(0, [1.0, 1.0])] * 6 + [(7, [1.0, 1.0]), (3, [0.125, 0.125])] + [(9, [1.0, 0.5])] * 7 + [(11, [0.5, 1.0])] * 2
+    rows += [(50, [1.0, 0.25 * k]) for k in range(8)] + [(12, [1.0, 1.0]), (50, [1.0, 1.0])]
+    whole = [(i, [int(x * 256) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50):
+        queries = {tuple(v) for i, v in whole if i == q}
+        found = sorted((-sum(a * b for a, b in zip(w, v)), i) for w in queries for i, v in whole if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:5])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages_act_on_what_is_left(spark):
@@ -139,10 +163,11 @@ def test_pipeline_stages_act_on_what_is_left(spark):
     assert left == {i for i, p in scores.items() if p} and good.columns == columns
 
     once = corpus_pipeline.STAGES[1][1](spark, good, folder)
-    marks = {i: simhash.fingerprint((texts[i] or "").encode()) for i in left}
+    words = {i: (texts[i] or "").encode().lower().split() for i in left}
+    sets = {i: frozenset(tuple(w[a:a + 5]) for a in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
     root = {i: i for i in left}
-    for _ in range(len(left)):
-        moved = {i: min(root[j] for j in left if (marks[i] ^ marks[j]).bit_count() <= 4) for i in left}
+    while True:
+        moved = {i: min(root[j] for j in left if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in left}
         if moved == root:
             break
         root = moved
