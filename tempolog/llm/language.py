@@ -129,11 +129,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
     weights, bias = np.zeros((SIZE, k)), np.zeros(k)
     share = np.bincount(labels, minlength=k) / max(1, len(labels))
     worth = np.clip(1 / np.maximum(share * k, 1e-9), 0.25, 4.0)
-    shares = [n / n.sum() for _, n in rows]
     steps, done = rounds * len(rows), 0
     for _ in range(rounds):
         for i in draw.permutation(len(rows)):
-            at, part, y = rows[i][0], shares[i], labels[i]
+            at, n = rows[i]
+            part, y = n / n.sum(), labels[i]
             mean = part @ embed[at]
             slope = softmax(mean @ weights + bias)
             slope[y] -= 1.0
@@ -204,19 +204,19 @@ def learn(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
                     if len(at) > FIT_PLACES:
                         most = np.sort(np.argsort(-n, kind="stable")[:FIT_PLACES])
                         at, n = at[most], n[most]
-                    out.append((lang, key, part, at.astype(np.int32), n.astype(np.int32)))
+                    out.append((lang, key, part, at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
             columns = list(zip(*out))
-            kinds = pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())
+            kinds = pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["lang", "key", "part", "at", "n"])
 
         return work
 
-    # A share of rows by a hash may be a little above the bound: the limit holds it.
-    table = map_batches(drawn, start, "lang string, key long, part int, at array<int>, n array<int>", rows=200).limit(2 * bound + 2000).toPandas()
+    # Arrays come as bytes, since lists would be Python numbers in the driver. A share of rows by a hash may be a little above the bound: the limit holds it.
+    table = map_batches(drawn, start, "lang string, key long, part int, at binary, n binary", rows=200).limit(2 * bound + 2000).toPandas()
     table = table[table["at"].map(len) > 0].sort_values(["key", "part", "lang"], kind="stable")
     languages = sorted(sizes)
     number = {x: i for i, x in enumerate(languages)}
-    rows = [(np.asarray(a, np.int64), np.asarray(n, np.float64)) for a, n in zip(table["at"], table["n"])]
+    rows = [(np.frombuffer(a, "<i4"), np.frombuffer(n, "<i4")) for a, n in zip(table["at"], table["n"])]
     labels = table["lang"].map(number).to_numpy(np.int64)
     apart = (table["key"].to_numpy() // 7) % CALIBRATE == 0
     if not len(rows) or apart.all():
