@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tempolog.functions.scalars import hmac_sha256, log_gap, micros, parse_time
@@ -534,15 +536,21 @@ def stream_sessions(spark, folder):
     return found.withColumn("is_final", F.col("is_final").cast("int"))
 
 
+def _event_files(spark, folder) -> tuple:
+    """The events as four files that overlap in time by some hours, for streams that take one file at a time."""
+    raw, path = read(spark, folder, "events"), f"{shared_folder(spark)}/streams/input-{uuid.uuid4().hex}"
+    shifted = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.hash("event_id"), F.lit(7200)) * 1_000_000
+    raw.repartitionByRange(4, shifted).write.parquet(path)
+    return raw.schema, path
+
+
 def stream_features(spark, folder):
-    line = user_line(spark, folder)
-    stats = durable(features.feature_stats(line))
-    out = flows.features_to_table(spark, read(spark, folder, "events").schema, f"{folder}/events.parquet", stats)
-    return rounded(out, robust_z=6, burst_ratio=6)
+    stats = durable(features.feature_stats(user_line(spark, folder)))
+    return rounded(flows.features_so_far(spark, *_event_files(spark, folder), stats, files_per_trigger=1), robust_z=6, burst_ratio=6)
 
 
 def stream_transition_counts(spark, folder):
-    return flows.transitions_to_table(spark, read(spark, folder, "events").schema, f"{folder}/events.parquet")
+    return flows.transitions_so_far(spark, *_event_files(spark, folder), files_per_trigger=1)
 
 
 QUERIES = {q.__name__: _pinned(q) for q in (

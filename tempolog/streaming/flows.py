@@ -2,7 +2,7 @@
 
 Each flow is a function from a streaming table of events to a streaming result, plus a small runner that reads
 a growing folder of files, writes to the shared folder and returns what was written so far. Thresholds and
-statistics come from a batch run. The rows of one trigger are limited by ``files_per_trigger``.
+statistics come from a batch run. ``files_per_trigger`` bounds the rows of one trigger; no result depends on it.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from tempolog.functions.scalars import clip, log_gap, quartile_us, robust_score, seconds
 from tempolog.schema import GAP_EPSILON, HISTORY
 from tempolog.plans.joins import match_all
+from tempolog.plans.timeline import timeline
 from tempolog.session import durable, shared_folder
 
 DELAY = "1 hour"
@@ -56,61 +57,178 @@ def stream_sessions(events: DataFrame, threshold_seconds: int, delay: str = DELA
 
 # --- state per user -------------------------------------------------------------------------------------------------
 
-class Recent(StatefulProcessor):
-    """Remembers the last event of a user and the latest gaps, and gives every new event its own past."""
+IDLE = 30 * 86_400  # seconds after which the state of a silent user is given up
 
-    RESULT = "uid string, {tie} bigint, ts_us bigint, op string, prev_op string, gap_us bigint, past array<bigint>"
-    STATE = "ts_us bigint, op string, gaps array<bigint>"
 
-    def __init__(self, tie: str = "event_id"):
-        self.tie = tie
+class Reorder(StatefulProcessor):
+    """Holds a user's events back until the watermark has passed them, and gives each its own past in order of time.
+
+    State of a user: the events that wait, and the last event let go with the latest gaps. A timer lets go what the
+    watermark has passed; another clears the state of a user who has been silent for ``idle`` seconds, so that state
+    is kept for active users only. Nothing is lost by that: the rows let go hold all that the state held. ``since_us``
+    is the time of the first event of the state a row came from and ``age`` its number there (at most
+    ``HISTORY + 1``), by which :func:`events_so_far` joins a returning user's rows to the earlier ones.
+    """
+
+    RESULT = "uid string, {tie} bigint, ts_us bigint, op string, prev_op string, gap_us bigint, past array<bigint>, since_us bigint, age int"
+    WAITING = "ts_us bigint, tie bigint, op string"
+    RECENT = "ts_us bigint, op string, gaps array<bigint>, since_us bigint, age int"
+
+    def __init__(self, tie: str = "event_id", idle: int = IDLE):
+        self.tie, self.idle = tie, idle
 
     def init(self, handle) -> None:
-        self.recent = handle.getValueState("recent", self.STATE)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.recent = handle.getValueState("recent", self.RECENT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", self.tie], ignore_index=True)
-        known = self.recent.exists()
-        last_us, last_op, past = self.recent.get() if known else (None, None, [])
-        times = new["ts_us"].to_numpy()
-        before = np.concatenate([[times[0] if last_us is None else last_us], times[:-1]])
-        gaps = np.maximum(times - before, 0)
+        first = None
+        for part in rows:
+            ops = [None if pd.isna(op) else op for op in part["op"]]
+            self.waiting.appendList(list(zip(part["ts_us"].tolist(), part[self.tie].tolist(), ops)))
+            least = int(part["ts_us"].min())
+            first = least if first is None else min(first, least)
+        self._wake(first, timerValues)
+        return iter(())
+
+    def _wake(self, first_us: int, timerValues) -> None:
+        """Come back once the watermark has passed this time."""
+        self.handle.registerTimer(max(-(-first_us // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((e for e in held if e[0] <= passed), key=lambda e: e[:2])
+        if ready:
+            keep = [e for e in held if e[0] > passed]
+            if keep:
+                self.waiting.put(keep)
+                self._wake(min(e[0] for e in keep), timerValues)
+            else:
+                self.waiting.clear()
+            yield self._let_go(key[0], ready)
+        if self.recent.exists() and len(held) == len(ready):
+            gone = self.recent.get()[0] // 1000 + self.idle * 1000
+            if gone <= passed // 1000:
+                self.recent.clear()
+            else:
+                self.handle.registerTimer(gone)
+
+    def _let_go(self, uid, ready: list[tuple]) -> pd.DataFrame:
+        times = np.array([e[0] for e in ready], dtype=np.int64)
+        ops = [e[2] for e in ready]
+        if self.recent.exists():
+            last_us, last_op, past, since, age = self.recent.get()
+            past = list(past)
+        else:
+            last_us, last_op, past, since, age = int(times[0]), None, [], int(times[0]), 0
         # The first event of a user has a gap of zero that later events see as part of their past.
+        gaps = np.diff(times, prepend=last_us)
         every = [*past, *gaps.tolist()]
         seen = len(past)
-        new["prev_op"] = [last_op, *new["op"].tolist()[:-1]]
-        new["gap_us"] = gaps
-        new["past"] = [every[max(0, i - HISTORY):i] for i in range(seen, len(every))]
-        self.recent.update((int(times[-1]), new["op"].iloc[-1], every[-HISTORY:]))
-        yield new[["uid", self.tie, "ts_us", "op", "prev_op", "gap_us", "past"]]
+        self.recent.update((int(times[-1]), ops[-1], every[-HISTORY:], since, min(age + len(ready), HISTORY + 1)))
+        return pd.DataFrame({
+            "uid": uid, self.tie: [e[1] for e in ready], "ts_us": times, "op": ops, "prev_op": [last_op, *ops[:-1]], "gap_us": gaps,
+            "past": [every[max(0, i - HISTORY):i] for i in range(seen, len(every))], "since_us": since,
+            "age": np.minimum(age + np.arange(len(ready)), HISTORY + 1)})
 
     def close(self) -> None:
         pass
 
 
-def with_past(events: DataFrame, tie: str = "event_id") -> DataFrame:
-    """Add ``prev_op, gap_us, past`` (up to five earlier gaps) to a stream of events."""
-    return events.select("uid", tie, "ts_us", "op").groupBy("uid").transformWithStateInPandas(
-        statefulProcessor=Recent(tie), outputStructType=Recent.RESULT.format(tie=tie),
-        outputMode="Append", timeMode="None")
+def with_past(events: DataFrame, tie: str = "event_id", delay: str = DELAY, idle: int = IDLE) -> DataFrame:
+    """The events of a stream in order of time with ``prev_op, gap_us, past`` (up to five earlier gaps), once the watermark passes them."""
+    timed = events.select("uid", tie, "ts", "ts_us", "op").withWatermark("ts", delay)
+    return timed.groupBy("uid").transformWithStateInPandas(
+        statefulProcessor=Reorder(tie, idle), outputStructType=Reorder.RESULT.format(tie=tie), outputMode="Append", timeMode="EventTime")
+
 
+def _newest(gaps: Column) -> Column:
+    return F.slice(gaps, F.greatest(F.size(gaps) - HISTORY + 1, F.lit(1)), HISTORY)
 
-def stream_features(events: DataFrame, stats: DataFrame, tie: str = "event_id") -> DataFrame:
-    """The batch features for a stream, against stored statistics ``uid, median, mad``."""
-    rows = with_past(events, tie)
+
+def _segments(let_go: DataFrame, tie: str) -> DataFrame:
+    """One row per user and lifetime of the user's state: how it ends, and what went before it (null in the first).
+
+    The first gap of a later lifetime is the time since the end of the one before.
+    """
+    ends = let_go.groupBy("uid", "since_us").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max_by(F.struct("ts_us", "op", _newest(F.concat("past", F.array("gap_us"))).alias("gaps")), F.struct("ts_us", tie)).alias("e"))
+    line = timeline(durable(ends.select("uid", "since_us", "n", F.col("e.ts_us").alias("end_us"), F.col("e.op").alias("end_op"), F.col("e.gaps").alias("gaps"))),
+                    ["uid"], ["since_us"]).previous(before_us="end_us", before_op="end_op")
+    real = F.when(F.col("before_us").isNull() | (F.col("n") > HISTORY), F.col("gaps")).otherwise(
+        F.concat(F.array(F.col("since_us") - F.col("before_us")), F.slice("gaps", 2, HISTORY)))
+    line = line.map(gaps=real).history("_early", "gaps", HISTORY)
+    return durable(line.rows.select("uid", "since_us", "n", "end_us", "end_op", "before_us", "before_op",
+                                    _newest(F.flatten("_early")).alias("before_gaps"), "gaps"))
+
+
+def _joined_up(let_go: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows let go after a state was made anew, with the past of the earlier state in place of none."""
+    later = segments.where("before_us is not null").select("uid", "since_us", "before_us", "before_op", "before_gaps")
+    rows = match_all(let_go, later, ["uid", "since_us"], "left")
+    first, returning = F.col("age") == 0, F.col("before_us").isNotNull() & (F.col("age") <= HISTORY)
+    pause = F.col("since_us") - F.col("before_us")
+    own = F.when(first, F.slice("past", 1, 0)).otherwise(F.concat(F.array(pause), F.slice("past", 2, HISTORY)))
+    return rows.select(
+        *[c for c in let_go.columns if c not in ("prev_op", "gap_us", "past", "since_us", "age")],
+        F.when(returning & first, F.col("before_op")).otherwise(F.col("prev_op")).alias("prev_op"),
+        F.when(returning & first, pause).otherwise(F.col("gap_us")).alias("gap_us"),
+        F.when(returning, _newest(F.concat("before_gaps", own))).otherwise(F.col("past")).alias("past"))
+
+
+def _made_now(events: DataFrame, known: DataFrame, tie: str) -> DataFrame:
+    """Rows for the given events through the batch timeline; they go on from where ``known`` says a user's rows end."""
+    line = timeline(durable(events), ["uid"], ["ts_us", tie]).attach(known).previous(_before="ts_us", prev_op="op")
+    first, start = F.col("_before").isNull(), F.col("end_us").isNotNull()
+    line = line.map(
+        prev_op=F.when(first & start, F.col("end_op")).otherwise(F.col("prev_op")),
+        gap_us=F.when(first, F.when(start, F.col("ts_us") - F.col("end_us")).otherwise(F.lit(0))).otherwise(F.col("ts_us") - F.col("_before")),
+    ).history("_own", "gap_us", HISTORY)
+    past = F.when(start, _newest(F.concat("end_gaps", "_own"))).otherwise(F.col("_own"))
+    return line.rows.select("uid", tie, "ts_us", "op", "prev_op", F.col("gap_us").cast("bigint").alias("gap_us"), past.alias("past"))
+
+
+def events_so_far(let_go: DataFrame, events: DataFrame, tie: str = "event_id") -> DataFrame:
+    """Every event that has arrived with ``prev_op, gap_us, past``, whatever the order of arrival.
+
+    ``let_go`` is what the stream has written and ``events`` the events themselves. Users some of whose events came too
+    late for the stream are noticed by the number of rows up to their last one, and made again from the events; for
+    the others only the events that still wait are added.
+    """
+    segments = _segments(let_go, tie)
+    ends = segments.groupBy("uid").agg(
+        F.sum("n").alias("_n"),
+        F.max_by(F.struct("end_us", "end_op", _newest(F.concat("before_gaps", "gaps")).alias("gaps")), "since_us").alias("e"))
+    ends = durable(ends.select("uid", "_n", F.col("e.end_us").alias("end_us"), F.col("e.end_op").alias("end_op"), F.col("e.gaps").alias("end_gaps")))
+    there = match_all(events.select("uid", "ts_us"), ends.select("uid", "_n", "end_us"), ["uid"], "inner").groupBy("uid", "_n").agg(
+        F.count(F.when(F.col("ts_us") <= F.col("end_us"), 1)).alias("_all"))
+    # Without a user there is no key to look the end up by, so those events are made again.
+    good = there.where("_n = _all and uid is not null").select("uid")
+    whole = durable(match_all(ends, good, ["uid"], "left_semi").drop("_n"))
+    rest = match_all(events, whole.select("uid", "end_us"), ["uid"], "left").where("end_us is null or ts_us > end_us").drop("end_us")
+    kept = match_all(let_go, whole.select("uid"), ["uid"], "left_semi")
+    return _joined_up(kept, segments).unionByName(_made_now(rest.select("uid", tie, "ts_us", "op"), whole, tie))
+
+
+def live_features(rows: DataFrame, stats: DataFrame, tie: str = "event_id") -> DataFrame:
+    """The batch features of events with their past, against stored statistics ``uid, median, mad``."""
     none = F.size("past") == 0
     before = F.when(none, F.col("gap_us")).otherwise(F.element_at("past", -1))
     z = F.when(F.col("gap_us") == 0, F.lit(0.0)).otherwise(robust_score(log_gap("gap_us"), "median", "mad"))
-    return rows.join(stats.select("uid", "median", "mad"), "uid", "left").select(
+    return match_all(rows, stats.select("uid", "median", "mad"), ["uid"], "left").select(
         "uid", tie, "gap_us", clip(z).alias("robust_z"),
         F.when(none, seconds("gap_us")).otherwise(quartile_us("past", 1)).alias("prev_q25_seconds"),
         F.when(none, seconds("gap_us")).otherwise(quartile_us("past", 3)).alias("prev_q75_seconds"),
         ((seconds(before) + F.lit(GAP_EPSILON)) / (seconds("gap_us") + F.lit(GAP_EPSILON))).alias("burst_ratio"))
 
 
-def stream_pairs(events: DataFrame, tie: str = "event_id") -> DataFrame:
-    """``src, dst`` of every consecutive pair of operations of a user."""
-    return with_past(events, tie).filter("prev_op is not null").select(F.col("prev_op").alias("src"), F.col("op").alias("dst"))
+def live_transitions(rows: DataFrame) -> DataFrame:
+    """``src, dst, n`` over consecutive operations of a user."""
+    pairs = rows.filter("prev_op is not null").groupBy(F.col("prev_op").alias("src"), F.col("op").alias("dst"))
+    return pairs.agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- runners ----------------------------------------------------------------------------------------------------------
@@ -160,18 +278,17 @@ def sessions_so_far(spark, schema, path, threshold_seconds, folder=None, files_p
     return kept.select("uid", "n_events", "start_us", "end_us", F.lit(True).alias("is_final")).unionByName(made)
 
 
-def features_to_table(spark, schema, path, stats, folder=None) -> DataFrame:
-    return to_table(spark, stream_features(read_events(spark, schema, path), stats), "features", folder)
+def _rows_so_far(spark, schema, path, folder, files_per_trigger: int, delay: str, idle: int) -> DataFrame:
+    """Let the stream take what there is, and return all events of the folder with their past. The tables of one folder share a stream."""
+    let_go = to_table(spark, with_past(read_events(spark, schema, path, files_per_trigger), delay=delay, idle=idle), "events", folder)
+    return events_so_far(let_go, _as_events(spark.read.schema(schema).parquet(path)))
 
 
-def transitions_to_table(spark, schema, path, folder=None) -> DataFrame:
-    """Running transition counts ``src, dst, n``. Each trigger adds its counts under its own number, so a repeat replaces them."""
-    folder = folder or _folder(spark, "transitions")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+def features_so_far(spark, schema, path, stats, folder=None, files_per_trigger: int = FILES_PER_TRIGGER, delay: str = DELAY, idle: int = IDLE) -> DataFrame:
+    """The features of every event that has arrived; the order of files does not matter."""
+    return live_features(_rows_so_far(spark, schema, path, folder, files_per_trigger, delay, idle), stats)
 
-    def add(batch: DataFrame, number: int) -> None:
-        batch.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/table/trigger={number}")
 
-    _run(stream_pairs(read_events(spark, schema, path)).writeStream.foreachBatch(add), folder)
-    parts = spark.read.schema("src string, dst string, n bigint, trigger bigint").parquet(f"{folder}/table")
-    return parts.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+def transitions_so_far(spark, schema, path, folder=None, files_per_trigger: int = FILES_PER_TRIGGER, delay: str = DELAY, idle: int = IDLE) -> DataFrame:
+    """Transition counts ``src, dst, n`` over every event that has arrived; the order of files does not matter."""
+    return live_transitions(_rows_so_far(spark, schema, path, folder, files_per_trigger, delay, idle))

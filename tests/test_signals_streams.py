@@ -78,32 +78,71 @@ def event_files(spark, folder, parts=(0, 1, 2)):
     return spark.read.schema(SCHEMA).parquet(folder)
 
 
-def test_streams_equal_batch(spark, tmp_path, monkeypatch):
+def as_line(batch):
+    ev = batch.select("event_id", F.col("user_id").cast("string").alias("uid"), F.unix_micros("ts").alias("ts_us"), F.col("event_type").alias("op"))
+    return gaps.with_user_gap(gaps.user_timeline(ev, ["event_id"]))
+
+
+def test_closed_sessions_equal_batch(spark, tmp_path):
     folder = str(tmp_path / "events")
     batch = event_files(spark, folder)
-    reader = flows.read_events
-    monkeypatch.setattr(flows, "read_events", lambda s, schema, path, n=1: reader(s, schema, path, files_per_trigger=1))
-    ev = batch.select(F.col("event_id"), F.col("user_id").cast("string").alias("uid"), F.unix_micros("ts").alias("ts_us"), F.col("event_type").alias("op"))
-    line = gaps.with_user_gap(gaps.user_timeline(ev, ["event_id"]))
-
-    roll = gaps.session_rollup(gaps.assign_sessions(line, 1500).rows)
-    horizon = ev.agg(F.max("ts_us")).first()[0] - 3600 * SECOND
+    roll = gaps.session_rollup(gaps.assign_sessions(as_line(batch), 1500).rows)
+    horizon = batch.agg(F.max(F.unix_micros("ts"))).first()[0] - 3600 * SECOND
     closed = {(r.uid, r.n_events, r.start_us, r.end_us) for r in roll.collect() if r.end_us + 1500 * SECOND <= horizon}
-    live = flows.sessions_to_table(spark, batch.schema, folder, 1500)
+    live = flows.sessions_to_table(spark, batch.schema, folder, 1500, files_per_trigger=1)
     assert closed and {(r.uid, r.n_events, r.start_us, r.end_us) for r in live.collect()} == closed
 
+
+def check_live(spark, batch, folder, stream, **settings):
+    """Features and transitions of the stream against batch; the second table finds its stream at the end already."""
+    line = as_line(batch)
     stats = durable(features.user_robust_stats(line, features.global_robust_stats(line)))
     want = {r.event_id: r for r in features.with_robust_z(features.with_rolling(line), stats).rows.collect()}
-    got = flows.features_to_table(spark, batch.schema, folder, stats).collect()
-    assert len(got) == len(want)
+    got = flows.features_so_far(spark, batch.schema, folder, stats, folder=stream, files_per_trigger=1, **settings).collect()
+    assert sorted(r.event_id for r in got) == sorted(want)
     for r in got:
         w = want[r.event_id]
         assert (r.gap_us, r.prev_q25_seconds, r.prev_q75_seconds) == (w.gap_us, w.prev_q25_seconds, w.prev_q75_seconds)
         assert r.robust_z == pytest.approx(w.robust_z_clipped) and r.burst_ratio == pytest.approx(w.burst_ratio)
-
     pairs = line.previous(src="op").rows.filter("src is not null").groupBy("src", F.col("op").alias("dst")).count()
-    counts = flows.transitions_to_table(spark, batch.schema, folder)
-    assert {(r.src, r.dst, r.n) for r in counts.collect()} == {tuple(r) for r in pairs.collect()}
+    counts = flows.transitions_so_far(spark, batch.schema, folder, folder=stream, files_per_trigger=1, **settings)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
+    return spark.read.parquet(f"{stream}/table")
+
+
+@pytest.mark.parametrize("parts", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_live_features_do_not_depend_on_the_order_of_files(spark, tmp_path, parts):
+    folder = str(tmp_path / "events")
+    batch = event_files(spark, folder, parts)
+    let_go = check_live(spark, batch, folder, str(tmp_path / "stream"))
+    assert let_go.where("prev_op is not null").count() > 0
+
+
+def test_live_features_of_a_frequent_user_in_shuffled_files(spark, tmp_path, windows):
+    rnd, folder = np.random.default_rng(5), str(tmp_path / "events")
+    rows = [(i, int(t), None if rnd.random() < 0.05 else 1 if rnd.random() < 0.6 else int(rnd.integers(2, 6)), str(rnd.choice(["view", "click"])))
+            for i, t in enumerate(np.sort(rnd.integers(0, 40_000, 300)))]
+    late = rnd.integers(0, 3000, 300)  # mostly less than the delay of 2000 seconds
+    order = np.argsort([r[1] + late[r[0]] for r in rows])
+    for piece in np.array_split(order, 4):
+        df = spark.createDataFrame([rows[i] for i in piece], "event_id bigint, s bigint, user_id bigint, event_type string")
+        df.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type").coalesce(1).write.mode("append").parquet(folder)
+    check_live(spark, spark.read.schema(SCHEMA).parquet(folder), folder, str(tmp_path / "stream"), delay="2000 seconds")
+
+
+def test_state_of_silent_users_is_given_up_and_nothing_lost(spark, tmp_path):
+    folder, stream = str(tmp_path / "events"), str(tmp_path / "stream")
+    day = 86_400
+    rows = [(d * 10 + k, (d + 1) * day + k * 60, 1 if d % 8 == 0 else 100 + d, "view" if k % 2 else "click") for d in range(9) for k in range(1 + d % 3 * 3)]
+    rows.append((999, 12 * day, 200, "view"))
+    for lot in ([r for r in rows if r[1] < 4 * day], [r for r in rows if 4 * day <= r[1] < 7 * day], [r for r in rows if r[1] >= 7 * day]):
+        df = spark.createDataFrame(lot, "event_id bigint, s bigint, user_id bigint, event_type string")
+        df.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type").coalesce(1).write.mode("append").parquet(folder)
+    let_go = check_live(spark, spark.read.schema(SCHEMA).parquet(folder), folder, stream, idle=day // 2)
+    lives = {r.uid: r.n for r in let_go.groupBy("uid").agg(F.countDistinct("since_us").alias("n")).collect()}
+    assert lives["1"] > 1  # came back after the state was cleared
+    kept = [r.key.uid for r in spark.read.format("statestore").option("stateVarName", "recent").load(f"{stream}/checkpoint").collect()]
+    assert len(kept) <= 1 and len(lives) >= 5
 
 
 @pytest.mark.parametrize("parts", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
