@@ -539,7 +539,7 @@ def stream_sessions(spark, folder):
 def _event_files(spark, folder) -> tuple:
     """The events as four files that overlap in time by some hours, for streams that take one file at a time."""
     raw, path = read(spark, folder, "events"), f"{shared_folder(spark)}/streams/input-{uuid.uuid4().hex}"
-    shifted = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.hash("event_id"), F.lit(7200)) * 1_000_000
+    shifted = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.hash("event_id"), F.lit(7200)).cast("bigint") * 1_000_000
     raw.repartitionByRange(4, shifted).write.parquet(path)
     return raw.schema, path
 
