@@ -11,6 +11,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ TASK_TOKENS = 1 << 22
 MOST_TASKS = 100_000
 # Chunks of text whose ids a Python worker keeps.
 CHUNKS = 600_000
+# Characters of texts whose chunks are told apart at once; a longer text is taken by itself.
+GROUP_CHARS = 1 << 22
+_MARKS = ".,;:!?"
 _SENTENCE_ENDS = ".!?…。！？"
 _CRC = 0xEDB88320
 
@@ -38,7 +42,7 @@ class Encoder(Splitter):
     """Token ids of one tokenizer file as little-endian 32-bit numbers, with the boundaries of sentences.
 
     Plain texts are cut at white space, which no piece of the tokenizer spans, and the library's model encodes the
-    pieces of each chunk that is not in the cache; other texts go through the whole tokenizer.
+    pieces of each different chunk that is not in the cache; other texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str, entries: int):
@@ -46,29 +50,61 @@ class Encoder(Splitter):
         self.model = self.tokenizer.model
         self.pieces = Cache(self._piece, entries // 3)
         self.chunks = Cache(self._ids, entries)
+        self.chunks[""] = b""
 
     def _ids(self, chunk: str) -> bytes:
-        parts = self.split(chunk)
-        if len(parts) > 1:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        return self._piece(parts[0])
+        # Letters alone, or with one mark behind them, are split as the pattern would.
+        if chunk.isalpha():
+            return self.pieces[chunk]
+        last = chunk[-1]
+        if last in _MARKS and chunk[:-1].isalpha():
+            return self.pieces[chunk[:-1]] + self.pieces[last]
+        return b"".join(map(self.pieces.__getitem__, self.split(chunk)))
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
         ids = [t.id for t in self.model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
-        """The ids, and the numbers of tokens before the ends of sentences."""
-        if self.plain(text):
-            chunks = text.lower().split()
-            parts = list(map(self.chunks.__getitem__, chunks))
-            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-            at = [i for i, x in enumerate(chunks) if x[-1] in _SENTENCE_ENDS]
-            return b"".join(parts), ends[at]
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per text the ids, and the numbers of tokens before the ends of sentences. Texts are taken some million characters at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= GROUP_CHARS:
+                size += len(texts[end])
+                end += 1
+            group = texts[at:end]
+            plain = [self.plain(x) for x in group]
+            quick = self._plain_texts([x for x, p in zip(group, plain) if p])
+            yield from (next(quick) if p else self._any_text(x) for x, p in zip(group, plain))
+            at = end
+
+    def _plain_texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each different chunk is encoded once; the ids of the texts are gathered from those of the chunks."""
+        # The splitter may leave empty chunks, or white space alone, at the ends of a text; neither has ids.
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = words.values.dictionary_encode()
+        codes, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        parts = list(map(self.chunks.__getitem__, different))
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        closes = np.fromiter((x != "" and x[-1] in _SENTENCE_ENDS for x in different), bool, len(different))
+        counts = sizes[codes]
+        after = np.cumsum(counts)
+        begins = (np.cumsum(sizes) - sizes)[codes] - (after - counts)
+        ids = flat[np.repeat(begins, counts) + np.arange(after[-1] if len(after) else 0)]
+        closing = np.flatnonzero(closes[codes])
+        rows = words.offsets.to_numpy()
+        tokens = np.r_[0, after][rows]
+        places = np.searchsorted(closing, rows)
+        for i in range(len(texts)):
+            yield ids[tokens[i]:tokens[i + 1]], after[closing[places[i]:places[i + 1]]] - tokens[i]
+
+    def _any_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         at = [i + 1 for i, (_, b) in enumerate(found.offsets) if b and text[b - 1] in _SENTENCE_ENDS]
-        return np.array(found.ids, "<u4").tobytes(), np.array(at, np.int64)
+        return np.array(found.ids, "<u4"), np.array(at, np.int64)
 
 
 @cache
@@ -100,9 +136,8 @@ def outline(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQUEN
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             cuts, hards, sums = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids, ends = encode(text)
-                ids = memoryview(ids + closing)
+            for ids, ends in encode(batch.column("text").to_pylist()):
+                ids = memoryview(ids.tobytes() + closing)
                 cut, hard = boundaries(ends, len(ids) // 4, size)
                 stops = [0, *(4 * cut).tolist()]
                 crc = accumulate((ids[a:b] for a, b in zip(stops, stops[1:])), lambda c, x: zlib.crc32(x, c), initial=0)
