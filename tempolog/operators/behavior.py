@@ -64,6 +64,23 @@ def transition_matrix(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return filled.select("src", "dst", "n", p.alias("p"))
 
 
+def sparse_transitions(counts: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model of :func:`transition_matrix` in proportion to the pairs that occur, however many operations there are.
+
+    ``src, dst, n, p`` for the pairs seen, and one row ``src, total, unseen, p`` per operation: how often it was left, to how
+    many operations never, and the probability of each of those.
+    """
+    counts = durable(counts.select("src", "dst", "n"))
+    left = counts.groupBy("src").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("seen"))
+    alpha = 1.0 / max(1, size := vocab.count())
+    rows = vocab.select(F.col("op").alias("src")).join(left, "src", "left").select(
+        "src", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
+        (F.lit(size) - F.coalesce("seen", F.lit(0))).cast("bigint").alias("unseen"))
+    rows = durable(rows.withColumn("p", F.lit(alpha) / (F.col("total") + 1)))
+    pairs = lookup(counts, rows.select("src", "total"), ["src"])
+    return pairs.select("src", "dst", "n", ((F.col("n") + F.lit(alpha)) / (F.col("total") + 1)).alias("p")), rows
+
+
 def lognormal_params(events: DataFrame, gap_seconds: Column | None = None) -> DataFrame:
     """``op, n, mu, sigma`` of ln(gap + eps) over the positive gaps; sigma is the population deviation."""
     gap = seconds("gap_us") if gap_seconds is None else gap_seconds
@@ -88,8 +105,11 @@ def model_summary(events: DataFrame, session=("uid", "session_id")) -> DataFrame
     ).withColumn("categories", ops.scalar())
 
 
-def check_model(initial: DataFrame, matrix: DataFrame, timing: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """``rule, item, value`` for every way the model tables fail to describe a distribution."""
+def check_model(initial: DataFrame, matrix: DataFrame, timing: DataFrame, tolerance: float = 1e-9, rest: DataFrame | None = None) -> DataFrame:
+    """``rule, item, value`` for every way the model tables fail to describe a distribution.
+
+    With ``rest`` (``src, unseen, p``) the matrix is the sparse form: pairs it does not list have the ``p`` of their source.
+    """
     off = lambda total: F.abs(total - 1) > F.greatest(F.lit(tolerance), F.lit(tolerance) * F.greatest(F.abs(total), F.lit(1.0)))
     bad_p = lambda p: F.col(p).isNull() | F.isnan(p) | (F.col(p) < 0) | (F.col(p) > 1)
     states = initial.select(F.col("op").alias("src"))
@@ -102,11 +122,18 @@ def check_model(initial: DataFrame, matrix: DataFrame, timing: DataFrame, tolera
     report(initial.agg(F.sum("p").alias("total")).filter(off(F.col("total"))), "initial_sum", F.lit("*"), F.col("total"))
     report(matrix.filter(bad_p("p")), "transition_not_probability", F.concat_ws("->", "src", "dst"), F.col("p"))
     rows = matrix.groupBy("src").agg(F.sum("p").alias("total"), F.countDistinct("dst").alias("width"))
+    sources = matrix.select("src")
+    if rest is not None:
+        report(rest.filter((F.col("unseen") > 0) & bad_p("p")), "transition_not_probability", F.concat_ws("->", "src", F.lit("*")), F.col("p"))
+        sources = sources.union(rest.select("src"))
+        rows = rest.select("src", "unseen", "p").join(rows, "src", "full").select(
+            "src", (F.coalesce("total", F.lit(0.0)) + F.coalesce(F.when(F.col("unseen") > 0, F.col("unseen") * F.col("p")), F.lit(0.0))).alias("total"),
+            (F.coalesce("width", F.lit(0)) + F.coalesce("unseen", F.lit(0))).alias("width"))
     report(rows.filter(off(F.col("total"))), "transition_row_sum", F.col("src"), F.col("total"))
     size = initial.agg(F.count(F.lit(1)).alias("c")).scalar()
     report(rows.filter(F.col("width") != size), "transition_row_incomplete", F.col("src"), F.col("width"))
     report(states.join(rows, "src", "left_anti"), "transition_row_missing", F.col("src"), F.lit(None))
-    report(matrix.join(states, "src", "left_anti").select("src").distinct(), "transition_unknown_state", F.col("src"), F.lit(None))
+    report(sources.join(states, "src", "left_anti").distinct(), "transition_unknown_state", F.col("src"), F.lit(None))
     report(matrix.select(F.col("dst").alias("src")).join(states, "src", "left_anti").distinct(),
            "transition_unknown_target", F.col("src"), F.lit(None))
     report(timing.filter(~(F.col("sigma") > 0) | F.isnan("sigma") | F.col("sigma").isNull() | (F.col("sigma") == float("inf"))),

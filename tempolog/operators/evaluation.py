@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tempolog.functions.scalars import seconds
 from tempolog.operators.scoring import Predictor
+from tempolog.plans.joins import lookup
 from tempolog.plans.timeline import timeline
 from tempolog.session import durable
 
@@ -83,6 +84,40 @@ def one_vs_rest(model: Predictor, vocab: DataFrame, pairs: DataFrame) -> DataFra
         F.sum("rows").alias("n"), F.sum(F.coalesce("m", F.lit(0))).cast("bigint").alias("n_pos")))
 
 
+def one_vs_rest_sparse(model: Predictor, pairs: DataFrame) -> DataFrame:
+    """``cls, n, n_pos, roc_auc, average_precision`` for the operations that happened, as by :func:`one_vs_rest`, without its grid.
+
+    All operations that are unseen after a source share the default of that source. So the rows of all sources, at their
+    defaults, are one distribution for every class; a class only moves the rows of the sources it was seen after from
+    there to its own scores. Work grows with the pairs seen.
+    """
+    alpha = F.lit(1.0 / model.size)
+    counted = durable(pairs.groupBy("prev_op", "op").agg(F.count(F.lit(1)).alias("m")))
+    totals = model.sources.select("prev_op", "total")
+    sources = counted.groupBy("prev_op").agg(F.sum("m").alias("rows")).join(totals, "prev_op", "left")
+    sources = durable(sources.select("prev_op", "rows", (F.coalesce("total", F.lit(0)) + 1).alias("weight")).withColumn("default", alpha / F.col("weight")))
+    every = sources.agg(F.sum("rows")).first()[0] or 0
+    seen = lookup(model.pairs.join(counted, ["prev_op", "op"], "full"), sources, ["prev_op"]).where("rows is not null")
+    moves = seen.select(F.col("op").alias("cls"), F.explode(F.array(
+        F.struct(((F.coalesce("n", F.lit(0)) + alpha) / F.col("weight")).alias("score"), F.col("rows").alias("n"), F.coalesce("m", F.lit(0)).alias("n_pos")),
+        F.struct(F.col("default").alias("score"), (-F.col("rows")).alias("n"), F.lit(0).cast("bigint").alias("n_pos")))).alias("e"))
+    own = durable(moves.groupBy("cls", "e.score").agg(F.sum("e.n").alias("n"), F.sum("e.n_pos").alias("n_pos")))
+    shared = sources.select(F.col("default").alias("score"), "rows").union(own.select("score", F.lit(0).cast("bigint")).distinct())
+    shared = timeline(durable(shared.groupBy("score").agg(F.sum("rows").alias("there"))), [], ["score"]).running("sum", "below", "there", inclusive=False)
+    placed = timeline(own, ["cls"], ["score"]).running("sum", "n_before", "n", inclusive=False).running("sum", "pos_before", "n_pos", inclusive=False).rows
+    placed = lookup(placed.where("n_pos > 0"), durable(shared.rows), ["score"])
+    before = F.col("n_before") + F.col("below")
+    whole = lambda c: c.cast("decimal(19,0)")
+    twice = whole(F.col("n_pos")) * whole(2 * before + F.col("n") + F.col("there") + 1)
+    totals = own.groupBy("cls").agg(F.sum("n_pos").alias("all_pos")).where("all_pos > 0")
+    sums = placed.join(totals, "cls").groupBy("cls").agg(
+        F.max("all_pos").alias("n_pos"), F.sum(twice).alias("twice_ranks"),
+        F.sum((F.col("all_pos") - F.col("pos_before")) / (F.lit(every) - before) * F.col("n_pos")).alias("area"))
+    pos, neg = whole(F.col("n_pos")), whole(F.lit(every) - F.col("n_pos"))
+    auc = F.when(F.col("n_pos") < every, (F.col("twice_ranks") - pos * (pos + 1)).cast("double") / (2 * (pos * neg).cast("double")))
+    return sums.select("cls", F.lit(every).cast("bigint").alias("n"), "n_pos", auc.alias("roc_auc"), (F.col("area") / F.col("n_pos")).alias("average_precision"))
+
+
 def explode_classes(rows: DataFrame, probabilities: str, label: str) -> DataFrame:
     """The same tally for an outside predictor that gives a map operation -> probability per row."""
     spread = rows.select(F.explode(probabilities).alias("cls", "score"), F.col(label).alias("_label"))

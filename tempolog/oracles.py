@@ -170,6 +170,10 @@ rq AS (SELECT *, CASE WHEN t1 > t0 THEN (g - t0) / (t1 - t0)::DOUBLE ELSE 0.0 EN
 rsm AS (SELECT series, CAST(k AS BIGINT) AS k, g / 2e6 AS t, ref0 + q * (coalesce(ref1, ref0) - ref0) AS ref,
   y0 + q * (coalesce(y1, y0) - y0) AS y, b0 + q * (coalesce(b1, b0) - b0) AS y_base FROM rq)"""
 
+PARTS = """pl AS (SELECT l_suppkey AS uid, CAST(l_partkey AS VARCHAR) AS op, l_shipdate, l_orderkey, l_linenumber FROM lineitem),
+  pq AS (SELECT uid, op AS dst, lag(op) OVER (PARTITION BY uid ORDER BY l_shipdate, l_orderkey, l_linenumber) AS src FROM pl),
+  pp AS (SELECT * FROM pq WHERE src IS NOT NULL), nv AS (SELECT count(DISTINCT op) AS v FROM pl)"""
+
 ORACLES = {
     "user_gaps": f"WITH {GAPS} SELECT event_id, uid, gap_us, round(ln(gap_us / 1e6 + 1e-3), 6) AS log_gap FROM g",
     "gap_histogram": f"WITH {HIST} SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi, n FROM hist",
@@ -209,6 +213,23 @@ ORACLES = {
     "initial_distribution": f"""WITH {WGAP}, {VOC}, f AS (SELECT op, count(*) AS n FROM wg WHERE prev_op IS NULL GROUP BY 1)
       SELECT voc.op, CAST(coalesce(f.n, 0) AS BIGINT) AS n, round((coalesce(f.n, 0) + 1.0 / c.c::DOUBLE) / ((SELECT sum(n) FROM f) + 1), 9) AS p FROM voc LEFT JOIN f USING (op), c""",
     "transition_matrix": f"WITH {WGAP}{TRANS} SELECT src, dst, n, round(p, 9) AS p FROM mat",
+    "sparse_transitions": f"""WITH {PARTS}, c AS (SELECT src, dst, count(*) AS n FROM pp GROUP BY ALL), t AS (SELECT src, sum(n)::BIGINT AS total FROM c GROUP BY 1)
+      SELECT src, dst, n, round((n + 1.0::DOUBLE / v) / (total + 1), 12) AS p FROM c JOIN t USING (src), nv""",
+    "sparse_transition_rows": f"""WITH {PARTS}, c AS (SELECT src, dst, count(*) AS n FROM pp GROUP BY ALL), t AS (SELECT src, sum(n)::BIGINT AS total, count(*) AS seen FROM c GROUP BY 1)
+      SELECT op AS src, coalesce(total, 0)::BIGINT AS total, v - coalesce(seen, 0) AS unseen, round(1.0::DOUBLE / v / (coalesce(total, 0) + 1), 12) AS p
+      FROM (SELECT DISTINCT op FROM pl) o LEFT JOIN t ON t.src = o.op, nv""",
+    "sparse_class_ranking": f"""WITH {PARTS}, mp AS (SELECT src, dst, count(*) AS n FROM pp WHERE uid % 2 = 1 GROUP BY ALL), mt AS (SELECT src, sum(n) AS total FROM mp GROUP BY 1),
+      ep AS (SELECT src, dst, count(*) AS m FROM pp WHERE uid % 2 <> 1 GROUP BY ALL), es AS (SELECT src, sum(m) AS rows FROM ep GROUP BY 1),
+      df AS (SELECT es.src, rows, 1.0::DOUBLE / v / (coalesce(total, 0) + 1) AS d, coalesce(total, 0) + 1 AS w FROM es LEFT JOIN mt USING (src), nv),
+      sn AS (SELECT coalesce(mp.src, ep.src) AS src, coalesce(mp.dst, ep.dst) AS cls, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM mp FULL JOIN ep ON mp.src = ep.src AND mp.dst = ep.dst),
+      mv AS (SELECT cls, (n + 1.0::DOUBLE / v) / w AS score, rows AS n, m AS n_pos FROM sn JOIN df USING (src), nv UNION ALL SELECT cls, d, -rows, 0 FROM sn JOIN df USING (src)),
+      ow AS (SELECT cls, score, sum(n) AS n, sum(n_pos) AS n_pos FROM mv GROUP BY ALL),
+      ds AS (SELECT d AS score, sum(rows) AS there FROM df GROUP BY 1), dc AS (SELECT score, there, sum(there) OVER (ORDER BY score) AS upto FROM ds),
+      ow2 AS (SELECT *, sum(n) OVER (PARTITION BY cls ORDER BY score) - n AS nb, sum(n_pos) OVER (PARTITION BY cls ORDER BY score) - n_pos AS pb, sum(n_pos) OVER (PARTITION BY cls) AS ap, (SELECT sum(rows) FROM df) AS every FROM ow),
+      pl2 AS (SELECT o.*, coalesce(dc.upto, 0) AS upto, CASE WHEN dc.score = o.score THEN dc.there ELSE 0 END AS here FROM (SELECT * FROM ow2 WHERE n_pos > 0) o ASOF LEFT JOIN dc ON o.score >= dc.score)
+      SELECT cls, any_value(every)::BIGINT AS n, any_value(ap)::BIGINT AS n_pos,
+        round((sum(n_pos * (2 * (nb + upto - here) + n + here + 1)) - any_value(ap) * (any_value(ap) + 1))::DOUBLE / (2 * any_value(ap) * (any_value(every) - any_value(ap)))::DOUBLE, 9) AS roc_auc,
+        round(sum((ap - pb)::DOUBLE / (every - nb - upto + here) * n_pos) / any_value(ap), 9) AS average_precision FROM pl2 GROUP BY cls""",
     "lognormal_params": f"""WITH {WGAP} SELECT op, count(*) AS n, round(avg(ln(gap_us / 1e6 + 1e-9)), 6) AS mu, round(stddev_pop(ln(gap_us / 1e6 + 1e-9)), 6) AS sigma
       FROM wg WHERE gap_us > 0 GROUP BY 1""",
     "model_summary": f"""WITH {WEEK} SELECT count(*) AS n_events, count(DISTINCT session_id) AS n_sessions, min(ts_us) AS first_us,

@@ -201,6 +201,35 @@ def transition_matrix(spark, folder):
     return rounded(_matrix(line, behavior.vocabulary(line.rows)), p=9)
 
 
+def _part_pairs(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Shipments of a supplier in order of time, with parts as operations: many of them, few pairs seen."""
+    tie = ["l_orderkey", "l_linenumber"]
+    rows = as_events(read(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", "l_partkey", tie).withColumn("op", F.col("op").cast("string"))
+    pairs = gaps.user_timeline(rows, tie).previous(prev_op="op").rows.filter("prev_op is not null")
+    return behavior.vocabulary(rows), durable(pairs.select("uid", "prev_op", "op"))
+
+
+def _sparse(spark, folder) -> tuple[DataFrame, DataFrame]:
+    vocab, pairs = _part_pairs(spark, folder)
+    return behavior.sparse_transitions(behavior.transition_counts(pairs), vocab)
+
+
+def sparse_transitions(spark, folder):
+    return rounded(_sparse(spark, folder)[0], p=12)
+
+
+def sparse_transition_rows(spark, folder):
+    return rounded(_sparse(spark, folder)[1], p=12)
+
+
+def sparse_class_ranking(spark, folder):
+    """Suppliers with odd numbers fit the model, the others are scored by it."""
+    vocab, pairs = _part_pairs(spark, folder)
+    odd = F.col("uid").cast("bigint") % 2 == 1
+    model = scoring.fit_predictor(pairs.where(odd).withColumn("z", F.lit(0.0)), vocab)
+    return rounded(evaluation.one_vs_rest_sparse(model, pairs.where(~odd)), roc_auc=9, average_precision=9)
+
+
 def lognormal_params(spark, folder):
     return rounded(behavior.lognormal_params(week_line(spark, folder).rows), mu=6, sigma=6)
 
@@ -557,7 +586,7 @@ QUERIES = {q.__name__: _pinned(q) for q in (
     user_gaps, gap_histogram, otsu_threshold, session_curve, elbow_threshold, assign_sessions, session_rollup,
     elapsed_in_session, deltified_table, top_anomalies_per_user,
     global_robust_stats, user_robust_stats, robust_z, rolling_quartiles, burst_ratio, fallback_users, session_gaps_raw_z,
-    initial_distribution, transition_matrix, lognormal_params, model_summary, model_checks, next_event_pairs,
+    initial_distribution, transition_matrix, sparse_transitions, sparse_transition_rows, sparse_class_ranking, lognormal_params, model_summary, model_checks, next_event_pairs,
     session_sequences, encode_category, group_kfold, score_events, category_thresholds, flag_events, top_anomalies,
     micro_f1, loss_summary, roc_auc, average_precision, macro_auc, detection_delay, evaluation_report,
     map_contract, normalize_timestamps, contract_violations, value_violations, pseudonymize, stage_roundtrip,

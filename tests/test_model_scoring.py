@@ -178,3 +178,44 @@ def test_detection_delay(spark):
     got = evaluation.detection_delay(df).first()
     assert got.n_sessions == 2 and got.delay_seconds == pytest.approx((25 + 40) / 2)
     assert evaluation.detection_delay(df.filter("session_id = 'single'")).first().delay_seconds == 0.0
+
+
+def test_sparse_model_equals_dense(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(str(a), str(b), 0.0) for a, b in rnd.integers(0, 9, (120, 2)) if a != 8]
+    pairs = spark.createDataFrame(rows, "prev_op string, op string, z double")
+    vocab = spark.createDataFrame([(str(i),) for i in range(12)], "op string")
+    counts = behavior.transition_counts(pairs)
+    dense = {(r.src, r.dst): r.p for r in behavior.transition_matrix(counts, vocab).collect()}
+    seen, rest = behavior.sparse_transitions(counts, vocab)
+    got = {(r.src, r.dst): r.p for r in seen.collect()}
+    default = {r.src: r for r in rest.collect()}
+    assert len(got) < len(dense) and len(default) == 12
+    assert {k: got.get(k, default[k[0]].p) for k in dense} == pytest.approx(dense, rel=1e-12)
+    initial = vocab.withColumn("p", F.lit(1 / 12))
+    timing = vocab.select("op", F.lit(0.0).alias("mu"), F.lit(1.0).alias("sigma"))
+    assert behavior.check_model(initial, seen, timing, rest=rest).count() == 0
+    worse = rest.withColumn("p", F.when(F.col("src") == "11", 2.0).otherwise(F.col("p")))
+    assert {(r.rule, r.item) for r in behavior.check_model(initial, seen, timing, rest=worse).collect()} == {
+        ("transition_not_probability", "11->*"), ("transition_row_sum", "11")}
+
+    model = scoring.fit_predictor(pairs.limit(60), vocab)
+    want = evaluation.one_vs_rest(model, vocab, pairs)
+    roc = {r.cls: r.roc_auc for r in evaluation.roc_auc(want, ["cls"]).collect() if r.n_pos}
+    ap = {r.cls: r.average_precision for r in evaluation.average_precision(want, ["cls"]).collect() if r.n_pos}
+    sparse = evaluation.one_vs_rest_sparse(model, pairs).collect()
+    assert {r.cls: r.roc_auc for r in sparse} == pytest.approx(roc) and {r.cls: r.average_precision for r in sparse} == pytest.approx(ap)
+
+
+def test_sparse_model_of_many_operations(spark):
+    size = 200_000
+    vocab = spark.range(size).select(F.format_string("op%06d", "id").alias("op"))
+    pairs = spark.range(300_000).select(F.format_string("op%06d", F.pmod(F.xxhash64("id"), F.lit(size))).alias("prev_op"),
+                                        F.format_string("op%06d", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(size))).alias("op"), F.lit(0.0).alias("z"))
+    counts = behavior.transition_counts(pairs)
+    seen, rest = behavior.sparse_transitions(counts, vocab)
+    assert seen.count() == counts.count() <= 300_000 and rest.count() == size
+    total = seen.agg(F.sum("p")).first()[0] + rest.agg(F.sum(F.col("unseen") * F.col("p"))).first()[0]
+    assert total == pytest.approx(size)
+    ranked = evaluation.one_vs_rest_sparse(scoring.fit_predictor(pairs, vocab), pairs)
+    assert ranked.agg(F.sum("n_pos")).first()[0] == 300_000 and ranked.where("roc_auc < 0.5").count() == 0

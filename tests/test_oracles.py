@@ -14,7 +14,8 @@ duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 WHOLE_PIPELINES = ["session_rollup", "user_robust_stats", "rolling_quartiles", "score_events", "macro_auc", "contract_violations",
-                   "pseudonymize", "step_response", "audit_table", "detect_token_replay", "stream_features", "stream_transition_counts"]
+                   "pseudonymize", "step_response", "audit_table", "detect_token_replay", "stream_features", "stream_transition_counts",
+                   "sparse_transitions", "sparse_transition_rows", "sparse_class_ranking"]
 
 
 @pytest.fixture(scope="module")
