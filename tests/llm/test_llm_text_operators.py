@@ -424,3 +424,23 @@ def test_common_subsequence():
     weight = np.array([1.0, 2.0, 4.0, 0.0])
     assert decontaminate.common_weight(np.array([0, 1, 2]), np.array([2, 0, 3, 1]), weight) == 4.0
     assert decontaminate.common_weight(np.array([0, 1, 2]), np.array([0, 3, 1]), weight) == 3.0
+
+
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    items = decontaminate.Items.of([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "iota kappa lambda mu nu xi omicron pi")])
+    items.idf = np.r_[np.linspace(0.5, 2.0, len(items.column)), 0.0]
+    draw, none = np.random.default_rng(4), len(items.column)
+    texts = [np.where(draw.random(n) < 0.4, draw.integers(0, none, n), none) for n in (0, 1, 7, 16, 17, 31, 32, 33, 48, 49, 500, 9000, 0, 40)]
+    basis = np.r_[draw.standard_normal((none, 5)), np.zeros((1, 5))]
+    want = np.zeros_like(basis)
+    for x in texts:
+        if len(starts := decontaminate.heavy_starts(x, items.weight, items.least_mass())):
+            want += decontaminate.gram_times(decontaminate._windows(x, starts, none), items.idf, basis)
+    stored = spark.createDataFrame([(i, i, x.tolist()) for i, x in enumerate(texts)], "doc_id long, text_key long, columns array<int>").repartition(2)
+    assert np.allclose(decontaminate.corpus_gram_times(stored, items, basis), want)
+    # More words than the space used to be fitted on.
+    many = spark.range(50).selectExpr("id doc_id", "xxhash64(id) text_key", f"transform(sequence(1, 100000), x -> int(x % {none + 1})) columns")
+    seen = []
+    monkeypatch.setattr(decontaminate, "corpus_gram_times", lambda rows, _, basis: (seen.append(rows.count()), np.zeros_like(basis))[1])
+    decontaminate.latent_basis(many, items)
+    assert seen == [50, 50]
