@@ -10,9 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from tempolog.functions.scalars import clip, log_gap, quartile_us, robust_score, seconds
@@ -63,75 +61,76 @@ IDLE = 30 * 86_400  # seconds after which the state of a silent user is given up
 class Reorder(StatefulProcessor):
     """Holds a user's events back until the watermark has passed them, and gives each its own past in order of time.
 
-    State of a user: the events that wait, and the last event let go with the latest gaps. A timer lets go what the
-    watermark has passed; another clears the state of a user who has been silent for ``idle`` seconds, so that state
+    State of a user, read and written once per call: the last event let go with the latest gaps, the events that wait,
+    and the time of the one timer that is set. It lets go what the watermark has passed if the user stays away, and then
+    clears the state of a user who has been silent for ``idle`` seconds, so that state
     is kept for active users only. Nothing is lost by that: the rows let go hold all that the state held. ``since_us``
     is the time of the first event of the state a row came from and ``age`` its number there (at most
     ``HISTORY + 1``), by which :func:`events_so_far` joins a returning user's rows to the earlier ones.
+
+    An event comes, waits and leaves as one text, ``time tie operation`` (:func:`with_past` makes it and reads it): one value
+    per event to convert, not one per column. A row of the result holds up to ``piece`` consecutive events of a user,
+    the operation ``before`` them, and their ``gaps`` after those of the ``seen`` events that went before.
     """
 
-    RESULT = "uid string, {tie} bigint, ts_us bigint, op string, prev_op string, gap_us bigint, past array<bigint>, since_us bigint, age int"
-    WAITING = "ts_us bigint, tie bigint, op string"
-    RECENT = "ts_us bigint, op string, gaps array<bigint>, since_us bigint, age int"
+    RESULT = "uid string, events array<string>, before string, gaps array<bigint>, seen int, since_us bigint, age int"
+    RECENT = "ts_us bigint, op string, gaps array<bigint>, since_us bigint, age int, waiting array<string>, wake bigint"
+    OUT = Row("uid", "events", "before", "gaps", "seen", "since_us", "age")
 
-    def __init__(self, tie: str = "event_id", idle: int = IDLE):
-        self.tie, self.idle = tie, idle
+    def __init__(self, idle: int = IDLE, piece: int = 10_000):
+        self.idle, self.piece = idle, piece
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.WAITING)
         self.recent = handle.getValueState("recent", self.RECENT)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            ops = [None if pd.isna(op) else op for op in part["op"]]
-            self.waiting.appendList(list(zip(part["ts_us"].tolist(), part[self.tie].tolist(), ops)))
-            least = int(part["ts_us"].min())
-            first = least if first is None else min(first, least)
-        self._wake(first, timerValues)
-        return iter(())
-
-    def _wake(self, first_us: int, timerValues) -> None:
-        """Come back once the watermark has passed this time."""
-        self.handle.registerTimer(max(-(-first_us // 1000), timerValues.getCurrentWatermarkInMs() + 1))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((e for e in held if e[0] <= passed), key=lambda e: e[:2])
-        if ready:
-            keep = [e for e in held if e[0] > passed]
-            if keep:
-                self.waiting.put(keep)
-                self._wake(min(e[0] for e in keep), timerValues)
-            else:
-                self.waiting.clear()
-            yield self._let_go(key[0], ready)
-        if self.recent.exists() and len(held) == len(ready):
-            gone = self.recent.get()[0] // 1000 + self.idle * 1000
-            if gone <= passed // 1000:
-                self.recent.clear()
-            else:
-                self.handle.registerTimer(gone)
-
-    def _let_go(self, uid, ready: list[tuple]) -> pd.DataFrame:
-        times = np.array([e[0] for e in ready], dtype=np.int64)
-        ops = [e[2] for e in ready]
-        if self.recent.exists():
-            last_us, last_op, past, since, age = self.recent.get()
-            past = list(past)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        return self._advance(key, self.recent.get(), [row[1] for row in rows], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.recent.get()
+        if state is None or state[-1] != expiredTimerInfo.getExpiryTimeInMs():
+            return iter(())
+        # Spark removes the timer that has gone off.
+        return self._advance(key, (*state[:-1], None), [], timerValues)
+
+    def _advance(self, key, state, new: list[str], timerValues) -> Iterator[Row]:
+        """Let go what the watermark has passed, and keep the rest and the new events with a timer for the first of them."""
+        *last, held, wake = state or (None, None, [], None, 0, [], None)
+        now = timerValues.getCurrentWatermarkInMs()
+        timed = []
+        for event in (*held, *new):
+            time, tie, *op = event.split(" ", 2)
+            timed.append((int(time), int(tie), op[0] if op else None, event))
+        ready = sorted((e for e in timed if e[0] <= now * 1000), key=lambda e: e[:2])
+        waiting = [e for e in timed if e[0] > now * 1000]
+        out = []
+        for start in range(0, len(ready), self.piece):
+            row, last = self._let_go(key[0], last, ready[start:start + self.piece])
+            out.append(row)
+        if waiting:
+            due = max(-(-min(e[0] for e in waiting) // 1000), now + 1)
         else:
-            last_us, last_op, past, since, age = int(times[0]), None, [], int(times[0]), 0
+            due = last[0] // 1000 + self.idle * 1000
+        if wake is not None and wake != due:
+            self.handle.deleteTimer(wake)
+        if due <= now:  # nothing waits, and the user has been silent for long
+            self.recent.clear()
+            return iter(out)
+        if wake != due:
+            self.handle.registerTimer(due)
+        self.recent.update((*last, [e[3] for e in waiting], due))
+        return iter(out)
+
+    def _let_go(self, uid, last, ready: list[tuple]) -> tuple[Row, tuple]:
+        times = [e[0] for e in ready]
+        last_us, last_op, past, since, age = last
+        if since is None:
+            last_us = since = times[0]
         # The first event of a user has a gap of zero that later events see as part of their past.
-        gaps = np.diff(times, prepend=last_us)
-        every = [*past, *gaps.tolist()]
-        seen = len(past)
-        self.recent.update((int(times[-1]), ops[-1], every[-HISTORY:], since, min(age + len(ready), HISTORY + 1)))
-        return pd.DataFrame({
-            "uid": uid, self.tie: [e[1] for e in ready], "ts_us": times, "op": ops, "prev_op": [last_op, *ops[:-1]], "gap_us": gaps,
-            "past": [every[max(0, i - HISTORY):i] for i in range(seen, len(every))], "since_us": since,
-            "age": np.minimum(age + np.arange(len(ready)), HISTORY + 1)})
+        every = [*past, *(b - a for a, b in zip([last_us, *times], times))]
+        row = self.OUT(uid, [e[3] for e in ready], last_op, every, len(past), since, age)
+        return row, (times[-1], ready[-1][2], every[-HISTORY:], since, min(age + len(times), HISTORY + 1))
 
     def close(self) -> None:
         pass
@@ -139,9 +138,21 @@ class Reorder(StatefulProcessor):
 
 def with_past(events: DataFrame, tie: str = "event_id", delay: str = DELAY, idle: int = IDLE) -> DataFrame:
     """The events of a stream in order of time with ``prev_op, gap_us, past`` (up to five earlier gaps), once the watermark passes them."""
-    timed = events.select("uid", tie, "ts", "ts_us", "op").withWatermark("ts", delay)
-    return timed.groupBy("uid").transformWithStateInPandas(
-        statefulProcessor=Reorder(tie, idle), outputStructType=Reorder.RESULT.format(tie=tie), outputMode="Append", timeMode="EventTime")
+    event = F.concat_ws(" ", "ts_us", tie, "op").alias("event")  # a null operation leaves two parts
+    timed = events.select("uid", event, "ts").withWatermark("ts", delay)
+    pieces = timed.groupBy("uid").transformWithState(
+        statefulProcessor=Reorder(idle), outputStructType=Reorder.RESULT, outputMode="Append", timeMode="EventTime")
+    # One array of structs, so that the generator takes nothing else along.
+    part = lambda i, k: F.get(F.split(F.get("events", i), " ", 3), F.lit(k))
+    at = lambda i: F.col("seen") + i
+    each = F.transform(F.sequence(F.lit(0), F.size("events") - 1), lambda i: F.struct(
+        part(i, 1).cast("bigint").alias(tie), part(i, 0).cast("bigint").alias("ts_us"), part(i, 2).alias("op"),
+        F.when(i == 0, F.col("before")).otherwise(part(i - 1, 2)).alias("prev_op"),
+        F.get("gaps", at(i)).alias("gap_us"),
+        F.slice("gaps", F.greatest(at(i) - HISTORY, F.lit(0)) + 1, F.least(at(i), F.lit(HISTORY))).alias("past"),
+        F.least(F.col("age") + i, F.lit(HISTORY + 1)).alias("age")))
+    rows = pieces.select("uid", "since_us", F.explode(each).alias("e"))
+    return rows.select("uid", f"e.{tie}", "e.ts_us", "e.op", "e.prev_op", "e.gap_us", "e.past", "since_us", "e.age")
 
 
 def _newest(gaps: Column) -> Column:
