@@ -72,6 +72,8 @@ ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?"
 ISO_ZONE = r"(Z|[+-]\d{2}(:?\d{2})?(:?\d{2}(\.\d+)?)?)$"
 UTC_ZONE = r"(Z|[+-]00(:?00)?)$"
 DIGITS = r"^\d+$"
+# Texts that :func:`extended_iso` leaves as they are, with a zone.
+FULL_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 # The seconds at which the years 1 and 10000 begin.
 FIRST_SECOND, END_SECOND = -62_135_596_800, 253_402_300_800
 
@@ -80,15 +82,18 @@ def parse_time(text: str | Column) -> Column:
     """Timestamp from epoch seconds, epoch milliseconds (more than ten digits), a float of seconds, or ISO 8601.
 
     ISO text must carry a zone; its basic form, hours alone and fractions of any length (cut to microseconds) are read
-    too. Times outside the years 1 to 9999 and anything else become null.
+    too. Times outside the years 1 to 9999 and anything else become null. Full ISO text, the usual case, is read without
+    rewriting it.
     """
     text = col(text)
+    full = text.rlike(FULL_ISO) & text.substr(F.lit(1), F.lit(10)).try_cast("date").isNotNull()
     number = text.try_cast("double")
     within = lambda seconds: (seconds >= F.lit(FIRST_SECOND)) & (seconds < F.lit(END_SECOND))
     whole = text.try_cast("bigint")
     iso = extended_iso(text)
     return (
-        F.when(text.rlike(DIGITS) & (F.length(text) > 10), F.when(within(whole / 1000), F.timestamp_micros(whole * 1000)))
+        F.when(full, F.try_to_timestamp(text))
+        .when(text.rlike(DIGITS) & (F.length(text) > 10), F.when(within(whole / 1000), F.timestamp_micros(whole * 1000)))
         .when(text.rlike(DIGITS), F.timestamp_micros(whole * 1_000_000))
         .when(~F.isnan(number) & within(number), F.timestamp_micros(F.rint(number * 1e6).cast("bigint")))
         .when(is_iso(text) & has_zone(text), F.try_to_timestamp(iso))

@@ -187,9 +187,14 @@ def assign_sessions(line: Timeline, threshold_seconds: float) -> Timeline:
 
 
 def auto_sessions(events: DataFrame, tie: Sequence[str], threshold_seconds: float | None = None) -> Timeline:
-    """Sessions of a table of events, with the threshold chosen from the table itself unless given."""
+    """Sessions of a table of events, with the threshold chosen from the table itself unless given.
+
+    To choose it, the events with their gaps are written once: what it took to make the events (parsing, say), and the
+    sort by user, are not repeated for the threshold, the statistics of features and the sessions.
+    """
     line = with_user_gap(user_timeline(events, tie))
     if threshold_seconds is None:
+        line = line.store()
         threshold_seconds = select_threshold(line).first().threshold_seconds
     return assign_sessions(line, threshold_seconds)
 

@@ -172,8 +172,7 @@ def deltified_table(spark, folder):
                     F.lit("GET").alias("verb"), F.col("event_type").alias("url"), F.lit("-").alias("from"),
                     F.lit("agent").alias("agent"), F.col("event_type").alias("kind"))
     mapped = quality.map_columns(raw, RAW_MAPPING, keep=TIE)
-    quality.require_clean(quality.check_required(mapped, "event_id"))
-    quality.require_clean(quality.check_timestamps(mapped, "event_id"))
+    quality.require_clean(quality.check(mapped, "event_id", quality.required_rules(), quality.timestamp_rules()))
     line = gaps.auto_sessions(from_contract(quality.normalize_contract(mapped), TIE), TIE)
     table = to_stage(features.deltify(line).rows, DELTIFIED_COLUMNS)
     out = table.withColumn("timestamp_utc", F.unix_micros("timestamp_utc"))
