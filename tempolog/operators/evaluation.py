@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tempolog.functions.scalars import seconds
 from tempolog.operators.scoring import Predictor
-from tempolog.plans.joins import lookup
+from tempolog.plans.joins import lookup, spread
 from tempolog.plans.timeline import timeline
 from tempolog.session import durable
 
@@ -97,11 +97,16 @@ def one_vs_rest_sparse(model: Predictor, pairs: DataFrame) -> DataFrame:
     sources = counted.groupBy("prev_op").agg(F.sum("m").alias("rows")).join(totals, "prev_op", "left")
     sources = durable(sources.select("prev_op", "rows", (F.coalesce("total", F.lit(0)) + 1).alias("weight")).withColumn("default", alpha / F.col("weight")))
     every = sources.agg(F.sum("rows")).first()[0] or 0
-    seen = lookup(model.pairs.join(counted, ["prev_op", "op"], "full"), sources, ["prev_op"]).where("rows is not null")
+    pair = ["prev_op", "op"]
+    size = model.pairs.count() + counted.count()
+    # Stored, as the look-up counts its rows first.
+    both = durable(spread(model.pairs, size, pair).join(spread(counted, size, pair), pair, "full"))
+    seen = lookup(both, sources, ["prev_op"]).where("rows is not null")
     moves = seen.select(F.col("op").alias("cls"), F.explode(F.array(
         F.struct(((F.coalesce("n", F.lit(0)) + alpha) / F.col("weight")).alias("score"), F.col("rows").alias("n"), F.coalesce("m", F.lit(0)).alias("n_pos")),
         F.struct(F.col("default").alias("score"), (-F.col("rows")).alias("n"), F.lit(0).cast("bigint").alias("n_pos")))).alias("e"))
-    own = durable(moves.groupBy("cls", "e.score").agg(F.sum("e.n").alias("n"), F.sum("e.n_pos").alias("n_pos")))
+    moves = spread(moves.select("cls", "e.score", "e.n", "e.n_pos"), 2 * size, ["cls", "score"])
+    own = durable(moves.groupBy("cls", "score").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos")))
     shared = sources.select(F.col("default").alias("score"), "rows").union(own.select("score", F.lit(0).cast("bigint")).distinct())
     shared = timeline(durable(shared.groupBy("score").agg(F.sum("rows").alias("there"))), [], ["score"]).running("sum", "below", "there", inclusive=False)
     placed = timeline(own, ["cls"], ["score"]).running("sum", "n_before", "n", inclusive=False).running("sum", "pos_before", "n_pos", inclusive=False).rows
